@@ -1,0 +1,181 @@
+"""Template residue, filler text, error pages and script notices in documents.
+
+Method: delimiter-specific grammars find unfilled placeholders, phrase grammars find filler, error pages and notices
+that scripts are needed; a match inside code, inside a quotation or in a sentence that explains templates is
+discounted, and filler needs density (a run or a repetition), so that writing about such things is no case.
+
+Defined results: null, empty and blank texts hold no residue; repeated rows are judged one by one; texts are
+searched whole; extra columns are ignored. One row per document with residue.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Words of the usual filler Latin.
+FILLER_LATIN = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor temporem incididunt labore dolore magna aliqua aliquam "
+    "quas nostri vulo facile munda orbis sertia calvum velum pelum karta tenet idrani enim minim veniam quis nostrud exercitation ullamco "
+    "laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint "
+    "occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum vestibulum curabitur pellentesque"
+).split()
+
+#: The name of a slot: words, dots and underscores, never numbers alone.
+_SLOT = r"[A-Za-z][\w.\-]*(?: [A-Za-z][\w.\-]*){0,4}"
+#: One grammar for each pair of delimiters.
+PLACEHOLDERS = {
+    "double_brace": rf"\{{\{{[#/^&>]?\s*{_SLOT}(?:\s*\|\s*[\w: '\"]+)?\s*\}}\}}",
+    "dollar_brace": rf"[$#]\{{\s*{_SLOT}\s*\}}",
+    "percent_tag": rf"<%[=\-]?\s*{_SLOT}\s*%>|\{{%\s*{_SLOT}\s*%\}}",
+    "double_angle": rf"<<\s*{_SLOT}\s*>>",
+    "at_pair": rf"@@\s*{_SLOT}\s*@@",
+    "percent_pair": r"(?<![\w%])%[A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,3}%(?![\w%])",
+    "double_bracket": rf"\[\[\s*{_SLOT}\s*\]\]",
+    "star_pipe": rf"\*\|\s*{_SLOT}\s*\|\*",
+    "underscores": r"(?<!\w)_{2,}[A-Za-z][A-Za-z0-9.]*(?:[_ ][A-Za-z0-9.]+){0,4}_{2,}(?!\w)",
+    "x_pair": r"(?<!\w)XX_[A-Za-z][\w. ]{0,40}?_XX(?!\w)",
+    "bracket_order": rf"\[\s*(?:INSERT|insert|Insert|ADD|add|Add|ENTER|enter|Enter|your|Your|YOUR)\s+{_SLOT}\s*\]|\[\s*{_SLOT} (?:goes here|HERE|here)\s*\]",
+    "paren_order": r"\((?:add|insert|enter|fill in) [A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,2}\)",
+    "to_be_done": r"(?<!\w)(?:TBD|TBA|TODO|FIXME): ?[A-Za-z][\w.]*",
+    "single_brace": rf"(?<![\w$#{{])\{{{_SLOT}\}}(?!\}})",
+    "single_angle": r"(?<!<)<(?!(?:/|!)|(?:a|abbr|address|area|article|aside|audio|b|base|blockquote|body|br|button|canvas|caption|cite|code|col|dd|del|details|dfn|div|dl|dt|em|embed|fieldset|figure|font|footer|form|frame|h[1-6]|head|header|hr|html|i|iframe|img|input|ins|kbd|label|legend|li|link|main|map|mark|meta|nav|noscript|object|ol|optgroup|option|p|param|pre|q|s|samp|script|section|select|small|span|strike|strong|style|sub|summary|sup|svg|table|tbody|td|template|textarea|tfoot|th|thead|time|title|tr|tt|u|ul|var|video|wbr)(?:\s+[\w:-]+=[^>]*|\s+(?:disabled|checked|required|hidden|selected|readonly|controls|async|defer))*\s*/?>)[A-Za-z][\w.]*(?: [A-Za-z][\w.]*){0,3}>(?!>)",
+}
+#: Fields that stay one-word in single angles although they are also HTML elements.
+_ANGLE_TITLE = r"(?<![<\w])<title>(?![^<]*</title>)"
+
+# Notices, error pages and filler as phrase grammars.
+_SCRIPTED = r"(?:java ?scripts?|scripts?(?: and cookies)?|cookies and scripts?)"
+NOTICES = [
+    rf"\b(?:please )?(?:enable|activate|turn on|switch on|allow) {_SCRIPTED}(?: and cookies)?(?: (?:in your browser|to (?:view|use|continue|load|see|access|read|proceed|run)|before|and (?:reload|refresh|try)|for this)|[.!]?\s*(?:$|\n|<))",
+    rf"\byou (?:need|have) to (?:allow|enable|activate) {_SCRIPTED}\b",
+    rf"\b{_SCRIPTED} (?:is|are|seems? to be|must be|needs? to be) (?:turned off|disabled|blocked|not enabled|off|active|enabled|activated)(?: in your| ?, ?(?:allow|switch|enable|turn|please)|; ?(?:allow|switch|enable|turn)| for th(?:is|e)| to| before|[.!])",
+    rf"\byour browser (?:does not|doesn't|cannot|can't) (?:run|support|execute) {_SCRIPTED}\b",
+    rf"\bthis (?:page|site|form|app|website) (?:requires|needs) {_SCRIPTED}\b",
+    r"\bwe(?:'ve| have) detected that (?:java)?scripts?\b",
+    r"<noscript>[^<]{5,}",
+    r"\bbitte aktivieren sie javascript\b|\bjavascript (?:ist deaktiviert|muss aktiviert)|\bactiv(?:e|a|ar) javascript (?:para|y)\b|\bhabilite (?:o )?javascript\b|\bative o javascript\b|\bveuillez activer javascript\b|\baktifkan javascript\b|\babilita(?:re)? javascript\b",
+    r"javascript\s*を\s*(?:有効|オン)|请启用\s*javascript|javascript\s*を許可",
+]
+_STATUS = r"(?:not found|forbidden|internal server error|service unavailable|bad gateway|gateway time-?out|bad request|unauthori[sz]ed|too many requests|gone|request time-?out|method not allowed|not implemented)"
+ERRORS = [
+    rf"\b(?:http )?(?:error )?[45]\d\d:? {_STATUS}\b",
+    r"(?:^|<title>|<h1>)[^\w\n]*(?:http )?error(?: code)?:? \d{3,4}\b(?! and| or|,)",
+    r"\brequest time-?out \(\d{3}\)",
+    r"(?:^|<title>|<h1>)\W*(?:page not found|oops! something went wrong|access denied)",
+    r"\boops! something went wrong\b",
+    r"\byour session has expired, ",
+    r"\ban unexpected error occurred while \w+ing\b",
+    r"\byou do not have permission to (?:view|access|open|see|edit) this\b",
+    r"\bthe page you (?:requested|are looking for|were looking for) (?:could not|cannot|can't|does not|doesn't|was not)\b",
+    r"\bthe (?:requested )?(?:file|document|page|resource) (?:is no longer available|was removed or its address has changed|has been moved or deleted)\b",
+    r"\bwe are (?:currently )?down for maintenance\b",
+    r"\bthe server took too long to respond\b",
+    r"\bcould not connect to the (?:database|server) while\b",
+    r"\bthe upstream (?:service|server) returned no answer\b",
+    r"\brequest id: ?[0-9a-f]{8,}\b",
+    r"error: no se pudo encontrar la página|página no (?:disponible, vuelva|encontrada)|acceso denegado|la sesión ha caducado",
+    r"seite nicht gefunden|interner serverfehler|zugriff verweigert|ihre sitzung ist abgelaufen",
+    r"page introuvable|erreur interne du serveur|accès refusé, votre",
+    r"página (?:não encontrada|indisponível)|erro interno do servidor|acesso negado, sua",
+    r"halaman tidak ditemukan|kesalahan server internal|akses ditolak, sesi",
+    r"ページが見つかりません|サーバーエラーが発生|アクセスが拒否されました|セッションの有効期限が切れ|アクセス権がありません",
+]
+_FILLER_SENTENCE = (
+    r"text goes here|your text here|type (?:your text )?here to begin|this is a sample paragraph|this is (?:placeholder|dummy|sample|filler) text|example content for layout only|"
+    r"blah(?: blah)+|todo write [^.\n]{3,60}|replace this (?:sentence|text|paragraph) with [^.\n]{3,60}|write your \w+ in this space|asdf(?: jkl)?(?: asdf(?: jkl)?)*|"
+    r"insert (?:your )?text here|add your (?:text|content) here|content (?:coming soon|goes here)|click (?:here )?to (?:add|edit) text"
+)
+FILLER = [rf"\b(?:{_FILLER_SENTENCE})[.!]?(?:\s+(?:{_FILLER_SENTENCE})[.!]?)+", rf"^\W*(?:{_FILLER_SENTENCE})[.!]?\W*$"]
+#: So many words of filler Latin in a row; fewer may be a mention of it.
+LATIN_RUN = 5
+_LATIN = rf"\b(?:{'|'.join(FILLER_LATIN)})(?:[\s,.;]+(?:{'|'.join(FILLER_LATIN)})){{{LATIN_RUN - 1},}}\b"
+
+#: Literals in lower case of which each grammar needs at least one; one Aho-Corasick pass looks for all of them.
+TRIGGERS = {
+    "placeholder": "{ <% << < @@ [[ *| __ xx_ %".split(" ") + ["here]", "[insert", "[your", "[add", "[enter", "[ ", "(add", "(insert", "(enter", "(fill in", "tbd:", "tba:", "todo:", "fixme:"],
+    "notice": ["javascript", "java script", "scripts", "script ", "noscript"],
+    "error_page": [
+        *(f"{a} {b}" for a in ("404", "403", "500", "503", "502", "504", "400", "401", "429", "410", "408", "405", "501") for b in ("not", "for", "int", "ser", "bad", "gat", "una", "too", "gon", "req", "met")),
+        *(f"{a}: " for a in ("404", "403", "500", "503", "502", "504", "400", "401", "429", "410", "408", "405", "501")), "error 4", "error 5", "error: ", "error code", "time-out", "timeout", "page not found", "oops!", "access denied",
+        "session has expired", "unexpected error", "do not have permission to", "the page you", "no longer available", "was removed or its", "been moved or deleted", "down for maintenance", "too long to respond", "could not connect",
+        "upstream se", "request id:", "página", "acceso denegado", "sesión ha caducado", "seite nicht", "serverfehler", "zugriff verw", "sitzung ist", "page introuvable", "erreur interne", "accès refusé", "erro interno", "acesso negado",
+        "halaman tidak", "kesalahan server", "akses ditolak", "ページが", "サーバーエラー", "アクセス", "セッション",
+    ],
+    "filler": ["text goes", "your text", "here to begin", "sample paragraph", "sample text", "is placeholder", "is dummy", "is filler", "for layout only", "blah blah", "todo write", "replace this", "in this space", "asdf", "text here", "your content", "coming soon", "content goes", "to add text", "to edit text", "here to add", "here to edit", "lorem", "ipsum", "dolor", "amet", "vulo", "nostri", "velum", "munda", "calvum", "tempor", "idrani", "pelum", "orbis", "tenet", "quas", "karta", "aliqu", "sertia", "facile", " sed ", "laboris", "veniam", "commodo", "officia"],
+}
+_CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S | re.I)
+_QUOTE = re.compile(r"[“\"«‘]([^”\"»’\n]{1,80})[”\"»’]")
+_TUTORIAL = re.compile(r"\b(?:template (?:syntax|language|engine)|templating|placeholder|syntax|variable|in (?:jinja|mustache|handlebars|erb|latex|the shell)|double (?:braces|brackets)|(?:curly|square|angle) (?:braces|brackets))\b", re.I)
+_SENTENCE_EDGE = re.compile(r"[.!?](?=\s)|\n")
+
+_PLACEHOLDER = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PLACEHOLDERS.items()) + f"|(?P<angle_title>{_ANGLE_TITLE})")
+_NOTICE = re.compile("|".join(f"(?:{x})" for x in NOTICES), re.I | re.M)
+_ERROR = re.compile("|".join(f"(?:{x})" for x in ERRORS), re.I | re.M)
+_FILL = re.compile("|".join(f"(?:{x})" for x in [*FILLER, _LATIN]), re.I | re.M)
+#: A masked line such as "name: ____" stands for content only where a form was never filled; it is left to others.
+def _automaton() -> ahocorasick.Automaton:
+    kinds: dict[str, set[str]] = {}
+    for kind, literals in TRIGGERS.items():
+        for x in literals:
+            kinds.setdefault(x, set()).add(kind)
+    automaton = ahocorasick.Automaton()
+    for x, k in kinds.items():
+        automaton.add_word(x, frozenset(k))
+    automaton.make_automaton()
+    return automaton
+
+
+_TRIGGERED = _automaton()
+GRAMMARS = {"placeholder": _PLACEHOLDER, "notice": _NOTICE, "error_page": _ERROR, "filler": _FILL}
+
+
+def _sentence(text: str, start: int, end: int) -> str:
+    before = [m.end() for m in _SENTENCE_EDGE.finditer(text, max(0, start - 300), start)]
+    after = _SENTENCE_EDGE.search(text, end)
+    return text[before[-1] if before else max(0, start - 300) : after.start() if after else end + 300]
+
+
+def find_residue(text: str | None) -> dict[str, int]:
+    """Kind of residue -> number of matches that stand in place of content."""
+    found: dict[str, int] = {}
+    if not text or not text.strip():
+        return found
+    triggered: set[str] = set()
+    for _, kinds in _TRIGGERED.iter(text.lower()):
+        triggered |= kinds
+    spared: list[tuple[int, int]] | None = None
+    for kind in sorted(triggered):
+        for m in GRAMMARS[kind].finditer(text):
+            if spared is None:
+                spared = [m.span() for m in _CODE.finditer(text)] + [m.span() for m in _QUOTE.finditer(text) if "\n" not in m.group() and not re.search(r"[{<][^{<]*$", text[max(0, m.start() - 60) : m.start()])]
+            if kind == "error_page" or not any(a < m.start() and m.end() < b for a, b in spared):
+                if kind == "placeholder" and _TUTORIAL.search(_sentence(text, *m.span()).replace(m.group(), " ")):
+                    continue
+                found[kind] = found.get(kind, 0) + 1
+    return found
+
+
+def template_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, ``kinds`` array of string, ``matches`` int): one row per document that holds residue. Map-only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, kinds, matches = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                if found := find_residue(text):
+                    keep.append(i)
+                    kinds.append(sorted(found))
+                    matches.append(sum(found.values()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(kinds, pa.list_(pa.string())), pa.array(matches, pa.int32())], names=["id", "kinds", "matches"]
+            )
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, kinds array<string>, matches int").withColumnRenamed("id", id_col)
