@@ -6,10 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from markweave.plans import experiments, ratings
+from markweave.session import ship_library
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_library(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _shipped(q) for name, q in (ratings.queries() | experiments.queries()).items()}
+
+
+def without_negative_zero(sql: str) -> str:
+    """``round(..)`` as ``(round(..) + 0.0)`` throughout a statement."""
+    out, at = [], 0
+    while (k := sql.find("round(", at)) >= 0:
+        depth, end = 0, k + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        out += [sql[at:k], "(round(", without_negative_zero(sql[k + 6 : end - 1]), ") + 0.0)"]
+        at = end
+    return "".join(out) + sql[at:]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: without_negative_zero(sql) for name, sql in (ratings.oracle_sql() | experiments.oracle_sql()).items()}
