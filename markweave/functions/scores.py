@@ -53,8 +53,8 @@ def target_id(row: str = "source_row_id", position: str = "rater_position") -> C
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Rounded, and never a negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounded in two steps, so that ties don't hang on the last bit, and never a negative zero."""
+    return F.round(F.round(c, digits + 4), digits) + F.lit(0.0)
 
 
 def error_columns(gold: str = "gold_overall", predicted: str = "predicted_overall") -> dict[str, Column]:

@@ -1,9 +1,15 @@
-"""Text features and similarity scores as JVM expressions."""
+"""Text features as JVM expressions; similarity scores over Arrow batches, where nested array functions would cost the square of a text's length."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words as letters, digits, underscores and inner apostrophes, whatever the script.
 WORD = r"[\p{L}\p{N}_]([\p{L}\p{N}_']*[\p{L}\p{N}_])?"
@@ -29,38 +35,52 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    times = lambda array, x: F.size(F.filter(array, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+def leaks_score(reasoning: Column, score: Column) -> Column:
+    """Whether a rationale names a score: alone, before the counter for points, or after ``score`` or ``overall``."""
+    hit = F.lit(False)
+    for s in range(1, 6):
+        grammar = rf"(?i)((^|[^\p{{L}}\p{{N}}_]){s}($|[^\p{{L}}\p{{N}}_]))|({s}\s*点)|(score\s*[:=]?\s*{s})|(overall\s*[:=]?\s*{s})"
+        hit = F.when(score == s, reasoning.rlike(grammar)).otherwise(hit)
+    return F.coalesce(hit, F.lit(False))
 
 
-def rouge1_f1(hypothesis: Column, reference: Column) -> Column:
-    """Unigram F1 of two token arrays; 0 without overlap."""
-    both = _shared(hypothesis, reference)
-    precision, recall = F.try_divide(both, F.size(hypothesis)), F.try_divide(both, F.size(reference))
-    return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+_TOKENS = re.compile(r"\w+")
 
 
-def _grams(array: Column, n: int) -> Column:
-    starts = F.when(F.size(array) >= n, F.sequence(F.lit(1), F.greatest(F.size(array) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(array, k, n), "\u0001"))
+def token_list(text: str | None) -> list[str]:
+    return _TOKENS.findall((text or "").lower())
 
 
-def bleu4(hypothesis: Column, reference: Column) -> Column:
-    """Sentence BLEU of two token arrays with add-one smoothing of all four orders; 0 where either is empty."""
-    logs = F.lit(0.0)
-    for n in range(1, 5):
-        own, other = _grams(hypothesis, n), _grams(reference, n)
-        logs = logs + F.log((_shared(own, other) + F.lit(1.0)) / (F.size(own) + F.lit(1.0)))
-    brevity = F.when(F.size(hypothesis) > F.size(reference), F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(F.size(reference), F.size(hypothesis))))
-    return F.when((F.size(hypothesis) > 0) & (F.size(reference) > 0), brevity * F.exp(logs / 4)).otherwise(F.lit(0.0))
+def rouge1(hypothesis: list[str], reference: list[str]) -> float:
+    """Unigram F1; 0 without overlap."""
+    both = sum((Counter(hypothesis) & Counter(reference)).values())
+    return 2 * both / (len(hypothesis) + len(reference)) if both else 0.0
 
 
-def leaks_score(reasoning: Column, score: Column) -> Column:
-    """Whether a rationale names a score: alone, before the counter for points, or after ``score`` or ``overall``."""
-    hit = F.lit(False)
-    for s in range(1, 6):
-        grammar = rf"(?i)((^|[^\p{{L}}\p{{N}}_]){s}($|[^\p{{L}}\p{{N}}_]))|({s}\s*点)|(score\s*[:=]?\s*{s})|(overall\s*[:=]?\s*{s})"
-        hit = F.when(score == s, reasoning.rlike(grammar)).otherwise(hit)
-    return F.coalesce(hit, F.lit(False))
+def bleu(hypothesis: list[str], reference: list[str], orders: int = 4) -> float:
+    """Sentence BLEU with add-one smoothing of every order; only a longer hypothesis escapes the brevity term. 0 where either is empty."""
+    if not hypothesis or not reference:
+        return 0.0
+    logs = 0.0
+    for n in range(1, orders + 1):
+        own = Counter(zip(*(hypothesis[k:] for k in range(n))))
+        other = Counter(zip(*(reference[k:] for k in range(n))))
+        logs += math.log((sum((own & other).values()) + 1) / (sum(own.values()) + 1))
+    brevity = 1.0 if len(hypothesis) > len(reference) else math.exp(1 - len(reference) / len(hypothesis))
+    return brevity * math.exp(logs / orders)
+
+
+_SIMILARITY = T.StructType([T.StructField("bleu", T.DoubleType()), T.StructField("rouge1_f1", T.DoubleType())])
+
+
+def _similarities(hypotheses: pd.Series, references: pd.Series) -> pd.DataFrame:
+    rows = []
+    for h, r in zip(hypotheses, references):
+        a, b = token_list(h), token_list(r)
+        rows.append((bleu(a, b), rouge1(a, b)))
+    return pd.DataFrame(rows, columns=["bleu", "rouge1_f1"], dtype=float)
+
+
+def similarity(hypothesis: Column | str, reference: Column | str) -> Column:
+    """Struct of ``bleu`` and ``rouge1_f1`` of two texts."""
+    return F.pandas_udf(_similarities, _SIMILARITY)(hypothesis, reference)

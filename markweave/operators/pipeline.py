@@ -79,14 +79,19 @@ def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict,
     return sent.unionByName(kept_back)
 
 
-def reference_candidates(answers: DataFrame, gold: DataFrame) -> DataFrame:
-    """Parsed candidates (``target_id``, ``candidate_id``, ``raw_model_output``) with gold; one that names the gold score is rejected."""
-    parsed = answers.join(gold.select("target_id", "gold_overall"), "target_id").withColumn("p", parse_reasoning("raw_model_output"))
+def parse_candidates(answers: DataFrame) -> DataFrame:
+    """Parsed candidates (``target_id``, ``candidate_id``, ``raw_model_output``, ``gold_overall``); one that names the gold score is rejected."""
+    parsed = answers.withColumn("p", parse_reasoning("raw_model_output"))
     leak = X.leaks_score(F.col("p.reasoning"), F.col("gold_overall"))
     error = F.when(F.col("p.error").isNotNull(), F.col("p.error")).when(leak, F.lit("ValueError: gold score leaked in reasoning"))
     return parsed.select("target_id", "candidate_id", "gold_overall", F.when(error.isNull(), F.col("p.reasoning")).otherwise(F.lit("")).alias("reference_reasoning"), leak.alias("score_leak"), "raw_model_output", error.alias("parse_error"))
 
 
+def reference_candidates(answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """Generated answers (``target_id``, ``candidate_id``, ``raw_model_output``) as parsed candidates of their targets."""
+    return parse_candidates(answers.join(gold.select("target_id", "gold_overall"), "target_id"))
+
+
 def verify_candidates(candidates: DataFrame, reconstructed: DataFrame) -> DataFrame:
     """Candidates with ``reconstructed_overall`` and ``verified``; ``reconstructed`` has parsed scores by both ids. A missing one failed."""
     joined = candidates.join(reconstructed.select("target_id", "candidate_id", "reconstructed_overall", "verification_parse_error", F.lit(True).alias("tried")), ["target_id", "candidate_id"], "left")
@@ -105,9 +110,9 @@ def verification_summary(candidates: DataFrame) -> DataFrame:
 
 def reasoning_quality(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Best and mean similarity of each prediction's rationale to its target's references; METEOR and BERTScore stay null."""
-    own = predictions.where("reasoning IS NOT NULL AND reasoning <> ''").select("target_id", "rater_id", X.tokens(F.col("reasoning")).alias("h"))
-    other = references.select("target_id", X.tokens(F.col("reference_reasoning")).alias("r"))
-    scored = own.join(other, "target_id").select("target_id", "rater_id", X.bleu4(F.col("h"), F.col("r")).alias("b"), X.rouge1_f1(F.col("h"), F.col("r")).alias("g"))
+    own = predictions.where("reasoning IS NOT NULL AND reasoning <> ''").select("target_id", "rater_id", "reasoning")
+    pairs = own.join(references.select("target_id", "reference_reasoning"), "target_id").select("target_id", "rater_id", X.similarity("reasoning", "reference_reasoning").alias("s"))
+    scored = pairs.select("target_id", "rater_id", F.col("s.bleu").alias("b"), F.col("s.rouge1_f1").alias("g"))
     none = F.lit(None).cast("double")
     return scored.groupBy("target_id", "rater_id").agg(
         rounded(F.max("b")).alias("bleu_max"), rounded(F.avg("b")).alias("bleu_mean"), rounded(F.max("g")).alias("rouge1_f1_max"), rounded(F.avg("g")).alias("rouge1_f1_mean"), F.count("*").alias("num_verified_references")

@@ -22,8 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(q) for name, q in (ratings.queries() | experiments.queries()).items()}
 
 
-def without_negative_zero(sql: str) -> str:
-    """``round(..)`` as ``(round(..) + 0.0)`` throughout a statement."""
+def steady_rounding(sql: str) -> str:
+    """``round(x, 6)`` as ``(round(round(x, 10), 6) + 0.0)`` throughout a statement, as the queries round."""
     out, at = [], 0
     while (k := sql.find("round(", at)) >= 0:
         depth, end = 0, k + 5
@@ -32,10 +32,15 @@ def without_negative_zero(sql: str) -> str:
             end += 1
             if not depth:
                 break
-        out += [sql[at:k], "(round(", without_negative_zero(sql[k + 6 : end - 1]), ") + 0.0)"]
+        inner = steady_rounding(sql[k + 6 : end - 1])
+        if inner.endswith(", 6"):
+            inner = f"round({inner[:-3]}, 10), 6"
+            out += [sql[at:k], "(round(", inner, ") + 0.0)"]
+        else:
+            out += [sql[at:k], "round(", inner, ")"]
         at = end
     return "".join(out) + sql[at:]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: without_negative_zero(sql) for name, sql in (ratings.oracle_sql() | experiments.oracle_sql()).items()}
+    return {name: steady_rounding(sql) for name, sql in (ratings.oracle_sql() | experiments.oracle_sql()).items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.functions import text as X
-from markweave.functions.parsing import parse_prediction, parse_reasoning
+from markweave.functions.parsing import parse_prediction
 from markweave.functions.scores import error_columns, rounded
 from markweave.operators import agreement, experiments, history, pipeline, prompts
 from markweave.schema import LEVELS, SCORES, TRAITS
@@ -73,10 +73,9 @@ def _parsed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed_references(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "reference_candidates_unverified")
-    answers = t.select("target_id", "candidate_id", "raw_model_output", "gold_overall").distinct()
-    p = answers.withColumn("p", parse_reasoning("raw_model_output"))
-    return p.select("target_id", "candidate_id", X.leaks_score(F.col("p.reasoning"), F.col("gold_overall")).alias("score_leak"), F.col("p.error").alias("parse_error"))
+    """The candidates' answers parsed again; repeated ones once."""
+    t = table(s, d, "reference_candidates_unverified").select("target_id", "candidate_id", "raw_model_output", "gold_overall").distinct()
+    return pipeline.parse_candidates(t).select("target_id", "candidate_id", "reference_reasoning", "parse_error")
 
 
 def _leaks(s: SparkSession, d: str) -> DataFrame:
@@ -223,6 +222,8 @@ def oracle_sql() -> dict[str, str]:
             blocks AS (SELECT hist.target_id, string_agg({block}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS b FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id GROUP BY hist.target_id),
             p AS (SELECT target_id, rater_id, {quoted(head)} || b || {quoted(middle)} || coalesce(Text, '') AS prompt FROM chosen JOIN blocks USING (target_id) JOIN tx USING (target_id))
             SELECT target_id, rater_id, length(prompt) AS characters, CAST(floor(length(prompt) / 4.0) AS INTEGER) + 1 AS prompt_token_estimate, sha256(prompt) AS digest FROM p""",
+        "parse_predictions": "SELECT target_id, timestamp, predicted_overall, parse_error FROM phase1_predictions",
+        "parse_references": "SELECT target_id, candidate_id, any_value(reference_reasoning) AS reference_reasoning, any_value(parse_error) AS parse_error FROM reference_candidates_unverified GROUP BY target_id, candidate_id, raw_model_output, gold_overall",
         "leak_flags": f"SELECT target_id, candidate_id, coalesce({leak}, false) AS leak FROM reference_candidates_unverified",
         "rouge1": f"""WITH {_LATEST}, {_REFS}, pair AS (SELECT l.target_id, rater_id, candidate_id, reference_reasoning, {toks.format('reasoning')} AS h, {toks.format('reference_reasoning')} AS g FROM latest l JOIN refs USING (target_id) WHERE reasoning IS NOT NULL AND reasoning <> ''),
             th AS (SELECT target_id, candidate_id, reference_reasoning, t, count(*) AS n FROM (SELECT *, unnest(h) AS t FROM pair) GROUP BY ALL), tg AS (SELECT target_id, candidate_id, reference_reasoning, t, count(*) AS n FROM (SELECT *, unnest(g) AS t FROM pair) GROUP BY ALL),
