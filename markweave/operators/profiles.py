@@ -63,7 +63,8 @@ def trait_mean_metrics(valid: DataFrame) -> DataFrame:
         rounded(F.avg(F.abs(gap))).alias("mean_absolute_overall_minus_trait_mean"), rounded(F.avg((half_up(mean) == F.col("o")).cast("double"))).alias("rounded_trait_mean_agreement_rate"),
         F.count_if(F.col("differs")).cast("double").alias("same_trait_mean_different_overall_sample_count"), F.countDistinct(F.when(F.col("differs"), F.col("trait_sum"))).cast("double").alias("same_trait_mean_different_overall_mean_value_count"),
     )
-    r = correlations(valid.select(F.lit(1).alias("one"), F.col(OVERALL).alias("x"), _trait_sum().alias("y")), ["one"]).select(F.col("pearson_correlation").alias("pearson_overall_trait_mean"), F.col("spearman_correlation").alias("spearman_overall_trait_mean"))
+    r = correlations(valid.select(F.lit(1).alias("one"), F.col(OVERALL).alias("x"), _trait_sum().alias("y")), ["one"])
+    r = r.agg(F.max("pearson_correlation").alias("pearson_overall_trait_mean"), F.max("spearman_correlation").alias("spearman_overall_trait_mean"))  # a row even without pairs
     g = same_profile_different_overall(valid).agg(F.count("*").cast("double").alias("same_profile_different_overall_group_count"), F.coalesce(F.sum("sample_count"), F.lit(0)).cast("double").alias("same_profile_different_overall_sample_count"))
     long = [df.unpivot([], df.columns, "metric", "value") for df in (one, r, g)]
     return long[0].unionByName(long[1]).unionByName(long[2])
