@@ -31,7 +31,7 @@ ECHO_WORDS = 8
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _FENCE = re.compile(r"```[a-zA-Z]*\s?|~~~[a-zA-Z]*\s?")
 _STRING = re.compile(r'"((?:[^"\\]|\\.)*)("|\Z)', re.S)
-_LABEL = re.compile(r"(?mi)^\s*[\"']?(?:predicted_overall|overall|score|answer|result|reasoning|explanation|rationale|notes|error)[\"']?\s*[:=]\s*(?:[\"']?\s*-?\d+(?:\.\d+)?\s*[\"']?\s*,?\s*$)?")
+_LABEL = re.compile(r"(?mi)^\s*[\"']?predicted_overall[\"']?\s*[:=]\s*[\"']?\s*-?\d*(?:\.\d+)?\s*[\"']?\s*,?\s*$|^\s*[\"']?(?:answer|result|reasoning|explanation|rationale|notes|error)[\"']?\s*[:=]\s*")
 _SPOKEN = re.compile(r"[^\W_]")
 _MARKS = frozenset(("n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "no answer", "no reasoning", "no response", "empty", "undefined"))
 _INVISIBLE = re.compile("[­​-‏ -‮⁠﻿]")
@@ -248,7 +248,7 @@ def _leak_grammar(gold: int) -> re.Pattern:
     g = rf"(?:{gold}(?:\.0)?|{_SCORE_WORDS[gold]})"
     end = r"(?![\d/]|\.\d|\s*(?:of the|days|reasons|examples|sentences|paragraphs))"
     return re.compile(
-        rf"\boverall\s*(?:score|rating|grade)?\s*(?:is|was|of|[:=])?\s*{g}\b{end}|\b(?:score|rating|grade|mark|level|band)\s*(?:is|was|of|at|[:=])?\s*{g}\b{end}|\b{g}\s*点|(?<![\d.])\b{g}\s*(?:/\s*5|out of (?:5|five))\b|"
+        rf"\boverall\s*(?:score|rating|grade)?\s*(?:is|was|of|[:=])?\s*{g}\b{end}|\b(?:score|rating|grade|mark|level|band)\s*(?:is|was|of|at|[:=])?\s*{g}\b{end}|(?<!\d){g}\s*点|(?<![\d.])\b{g}\s*(?:/\s*5|out of (?:5|five))\b|"
         rf"\b(?:an?|the)\s+{g}\s+(?:overall|rating|score|grade)\b|\b(?:earns?|deserves?|merits?|receives?|gets?|gave it|given|rated|scored?|awarded)\s+(?:an?\s+)?(?:overall\s+)?{g}(?=\s*(?:[.,;!?\"]|\Z|overall|points?\b|stars?\b))|\b{g}\s+(?:points?|stars?)\b",
         re.I,
     )
