@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markweave.functions.scores import error_columns, quadratic_kappa, rounded
-from markweave.operators.correlation import correlations
+from markweave.operators.correlation import contingency, from_sums, weighted_sums
 
 
 def agreement_metrics(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -15,31 +15,28 @@ def agreement_metrics(pairs: DataFrame, keys: list[str], a: str = "a", b: str =
     Kappa categories are half points; the quadratic one weighs by the category's place among those present, as usual
     for categorical data. ``paired_count`` counts the pairs; a key without pairs is absent.
     """
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    both = pairs.where(x.isNotNull() & y.isNotNull()).select(*keys, x.alias("a"), y.alias("b"))
-    d = F.col("a") - F.col("b")
-    share = lambda c: rounded(F.avg(c.cast("double")))
-    plain = both.groupBy(*keys).agg(
-        F.count("*").alias("paired_count"), share(d == 0).alias("exact_agreement_rate"), share(F.abs(d) <= 1).alias("within_one_point_rate"), share(F.abs(d) == 1).alias("one_point_difference_rate"),
-        share(F.abs(d) >= 2).alias("two_or_more_point_rate"), rounded(F.avg(d)).alias("mean_signed_difference"), rounded(F.avg(F.abs(d))).alias("mean_absolute_difference"), rounded(F.sqrt(F.avg(d * d))).alias("rmse"),
+    cells = contingency(pairs, keys, a, b)
+    by = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(1)]))
+    i, j = (F.rint(F.col(c) * 2).cast("int") for c in ("x", "y"))
+    cells = cells.withColumn("i", i).withColumn("j", j)
+    # A few categories per key, so they and the cells fit in an array.
+    present = F.array_sort(F.array_union(F.collect_set("i").over(by), F.collect_set("j").over(by)))
+    cells = cells.withColumn("present", present).withColumn("p", F.array_position("present", F.col("i"))).withColumn("q", F.array_position("present", F.col("j")))
+    d, n = F.col("x") - F.col("y"), F.col("n")
+    total = lambda c: F.sum(n * c.cast("double"))
+    sums = {"e": d == 0, "w": F.abs(d) <= 1, "o": F.abs(d) == 1, "t": F.abs(d) >= 2, "d": d, "ad": F.abs(d), "dd": d * d, "same": F.col("i") == F.col("j")}
+    one = cells.groupBy(*keys).agg(
+        F.sum("n").cast("double").alias("_n"), *(total(c).alias(f"_{k}") for k, c in sums.items()), F.collect_list(F.struct("i", "j", "n")).alias("cells"),
+        *weighted_sums("p", F.col("x"), F.col("y")), *weighted_sums("s", F.col("rx"), F.col("ry")), *weighted_sums("k", F.col("p"), F.col("q")),
+    )
+    column = lambda c: F.aggregate(F.filter("cells", lambda y: y["j"] == c), F.lit(0.0), lambda t, y: t + y["n"])
+    chance = F.try_divide(F.aggregate("cells", F.lit(0.0), lambda t, c: t + c["n"] * column(c["i"])), F.col("_n") * F.col("_n"))
+    share = lambda k: rounded(F.try_divide(f"_{k}", "_n"))
+    return one.select(
+        *keys, F.col("_n").cast("long").alias("paired_count"), share("e").alias("exact_agreement_rate"), share("w").alias("within_one_point_rate"), share("o").alias("one_point_difference_rate"), share("t").alias("two_or_more_point_rate"),
+        share("d").alias("mean_signed_difference"), share("ad").alias("mean_absolute_difference"), rounded(F.sqrt(F.try_divide("_dd", "_n"))).alias("rmse"),
+        from_sums("p").alias("pearson_correlation"), from_sums("s").alias("spearman_correlation"), rounded(F.try_divide(F.try_divide("_same", "_n") - chance, 1 - chance)).alias("cohen_kappa"), from_sums("k", quadratic_kappa).alias("quadratic_weighted_kappa"),
     )
-    cells = both.groupBy(*keys, F.rint(F.col("a") * 2).cast("int").alias("i"), F.rint(F.col("b") * 2).cast("int").alias("j")).agg(F.count("*").alias("n"))
-    present = cells.select(*keys, F.explode(F.array("i", "j")).alias("category")).distinct()
-    by = [F.col(k) for k in keys] or [F.lit(1)]
-    place = present.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("category")))  # a few categories per key
-    at = lambda side, name: place.select(*keys, F.col("category").alias(side), F.col("place").alias(name))
-    placed = cells.join(at("i", "p"), [*keys, "i"]).join(at("j", "q"), [*keys, "j"])
-    n, p, q = F.col("n"), F.col("p"), F.col("q")
-    sums = placed.groupBy(*keys).agg(*(F.sum(c).cast("double").alias(k) for k, c in {"N": n, "A": n * p, "B": n * q, "AA": n * p * p, "BB": n * q * q, "AB": n * p * q, "D": F.when(p == q, n).otherwise(0)}.items()))
-    rows = placed.groupBy(*keys, F.col("p").alias("c")).agg(F.sum("n").alias("r"))
-    cols = placed.groupBy(*keys, F.col("q").alias("c")).agg(F.sum("n").alias("s"))
-    chance = rows.join(cols, [*keys, "c"]).groupBy(*keys).agg(F.sum(F.col("r") * F.col("s")).cast("double").alias("E"))
-    join = lambda l, r: l.join(r, keys, "left") if keys else l.join(r, F.lit(True), "left")  # noqa: E731  (one row a side without keys)
-    kappa = join(sums, chance)
-    po, pe = F.try_divide("D", "N"), F.try_divide(F.coalesce("E", F.lit(0.0)), F.col("N") * F.col("N"))
-    kappa = kappa.select(*keys, rounded(F.try_divide(po - pe, 1 - pe)).alias("cohen_kappa"), rounded(quadratic_kappa(*(F.col(k) for k in ("N", "A", "B", "AA", "BB", "AB")))).alias("quadratic_weighted_kappa"))
-    r = correlations(both, keys, "a", "b").drop("count")
-    return join(join(plain, r), kappa)
 
 
 def prediction_metrics(predictions: DataFrame, keys: list[str] | None = None) -> DataFrame:

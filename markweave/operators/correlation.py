@@ -15,24 +15,32 @@ from markweave.schema import OVERALL, TRAITS
 PREDICTORS = (*TRAITS, "trait_mean", "trait_min", "trait_max", "trait_std")
 
 
-def correlations(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """``keys`` with ``count``, ``pearson_correlation`` and ``spearman_correlation`` of the complete pairs.
-
-    Null under two pairs or where a side is constant.
-    """
+def contingency(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """``keys``, ``x``, ``y``, ``n`` and the average ranks ``rx``, ``ry``: the distinct complete pairs with their number."""
     cells = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
     by = [F.col(k) for k in keys] or [F.lit(1)]
     before = lambda c: Window.partitionBy(*by).orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
     rank = lambda c: F.sum("n").over(before(c)) - (F.sum("n").over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
-    ranked = cells.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+    return cells.withColumn("rx", rank("x")).withColumn("ry", rank("y"))
+
+
+def weighted_sums(prefix: str, u, v) -> list:
+    """The five sums over counted pairs that a correlation or kappa needs."""
     n = F.col("n")
-    sums = {"n": n}
-    for a, b, p in (("x", "y", "p"), ("rx", "ry", "s")):
-        u, v = F.col(a), F.col(b)
-        sums |= {f"{p}a": n * u, f"{p}b": n * v, f"{p}aa": n * u * u, f"{p}bb": n * v * v, f"{p}ab": n * u * v}
-    total = ranked.groupBy(*keys).agg(*(F.sum(c).cast("double").alias(f"_{k}") for k, c in sums.items()))
-    r = lambda p: rounded(pearson(F.col("_n"), *(F.col(f"_{p}{k}") for k in ("a", "b", "aa", "bb", "ab"))))
-    return total.select(*keys, F.col("_n").cast("long").alias("count"), r("p").alias("pearson_correlation"), r("s").alias("spearman_correlation"))
+    return [F.sum(c).cast("double").alias(f"{prefix}{k}") for k, c in (("a", n * u), ("b", n * v), ("aa", n * u * u), ("bb", n * v * v), ("ab", n * u * v))]
+
+
+def from_sums(prefix: str, measure=pearson, total: str = "_n"):
+    return rounded(measure(F.col(total), *(F.col(f"{prefix}{k}") for k in ("a", "b", "aa", "bb", "ab"))))
+
+
+def correlations(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
+    """``keys`` with ``count``, ``pearson_correlation`` and ``spearman_correlation`` of the complete pairs.
+
+    Null under two pairs or where a side is constant.
+    """
+    total = contingency(pairs, keys, x, y).groupBy(*keys).agg(F.sum("n").cast("double").alias("_n"), *weighted_sums("p", F.col("x"), F.col("y")), *weighted_sums("s", F.col("rx"), F.col("ry")))
+    return total.select(*keys, F.col("_n").cast("long").alias("count"), from_sums("p").alias("pearson_correlation"), from_sums("s").alias("spearman_correlation"))
 
 
 def predictor_pairs(valid: DataFrame, keys: list[str], predictors=PREDICTORS) -> DataFrame:

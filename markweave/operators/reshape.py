@@ -80,7 +80,7 @@ def position_counts(wide: DataFrame) -> DataFrame:
 
 def conversion_violations(raw: DataFrame, wide: DataFrame) -> DataFrame:
     """(``check``, ``violations``): what a conversion must not change; all 0 for a right one."""
-    back = essay_long(raw.select("source_row_id", *raw.columns[1:]) if raw.columns[0] == "source_row_id" else raw)
+    back = essay_long(raw)
     n_raw, n_wide = raw.agg(F.count("*").alias("n")), wide.agg(F.count("*").alias("n"))
     rows = n_raw.select(F.lit("row_count").alias("check"), F.col("n").alias("r")).join(n_wide.select(F.lit("row_count").alias("check"), F.col("n").alias("w")), "check").select("check", F.abs(F.col("r") * 2 - F.col("w")).alias("violations"))
     keys = wide.groupBy("source_row_id", "rater_position").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("violations")).select(F.lit("unique_key").alias("check"), "violations")

@@ -230,6 +230,13 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT target_id, candidate_id, reference_reasoning, sum(least(th.n, tg.n)) AS o FROM th JOIN tg USING (target_id, candidate_id, reference_reasoning, t) GROUP BY ALL),
             f AS (SELECT target_id, rater_id, coalesce(2.0 * o / nullif(len(h) + len(g), 0), 0) AS f FROM pair LEFT JOIN o USING (target_id, candidate_id, reference_reasoning))
             SELECT target_id, rater_id, round(max(f), 6) AS rouge1_f1_max, round(avg(f), 6) AS rouge1_f1_mean, count(*) AS num_verified_references FROM f GROUP BY target_id, rater_id""",
+        "bleu4": f"""WITH {_LATEST}, {_REFS}, pair AS (SELECT row_number() OVER () AS id, l.target_id, rater_id, {toks.format('reasoning')} AS h, {toks.format('reference_reasoning')} AS g FROM latest l JOIN refs USING (target_id) WHERE reasoning IS NOT NULL AND reasoning <> ''),
+            gram AS (SELECT id, n, 'h' AS side, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(list_slice(h, i, i + n - 1), ' '))) AS t FROM pair CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n)
+                UNION ALL SELECT id, n, 'g', unnest(list_transform(range(1, len(g) - n + 2), lambda i: array_to_string(list_slice(g, i, i + n - 1), ' '))) FROM pair CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n)),
+            c AS (SELECT id, n, t, count(*) FILTER (WHERE side = 'h') AS a, count(*) FILTER (WHERE side = 'g') AS b FROM gram GROUP BY id, n, t), o AS (SELECT id, n, ln((sum(least(a, b)) + 1.0) / (sum(a) + 1.0)) AS l FROM c GROUP BY id, n),
+            s AS (SELECT id, sum(l) / 4 AS l FROM o GROUP BY id),
+            f AS (SELECT target_id, rater_id, CASE WHEN len(h) = 0 OR len(g) = 0 THEN 0.0 ELSE exp(l) * CASE WHEN len(h) > len(g) THEN 1.0 ELSE exp(1 - len(g) / len(h)) END END AS f FROM pair LEFT JOIN s USING (id))
+            SELECT target_id, rater_id, round(max(f), 6) AS bleu_max, round(avg(f), 6) AS bleu_mean, count(*) AS num_verified_references, '{pipeline.NOTE}' AS metric_note FROM f GROUP BY target_id, rater_id""",
         "prediction_metrics": f"WITH {_LATEST}, x AS (SELECT gold_overall, predicted_overall AS p FROM latest WHERE predicted_overall IS NOT NULL) SELECT count(*) AS n, {_ERRORS.format('exact_accuracy')} FROM x",
         "prediction_detail": f"WITH {detail} SELECT target_id, rater_id, gold_overall, predicted_overall, exact_correct, absolute_error, CAST(squared_error AS INTEGER) AS squared_error, bleu_max, rouge1_f1_max, meteor_max, bertscore_f1_max FROM detail",
         "quality_by_correctness": f"WITH {detail} SELECT exact_correct, metric, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_samp(value), 6) AS std, count(value) AS \"count\" FROM ({metrics}) GROUP BY exact_correct, metric",
