@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed by the vocabulary: how text is cut into words before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words memoised per worker before the memo starts afresh; bounds memory, never results.
-MEMO_WORDS = 400_000
+#: Pieces and ids memoised per worker before the memo starts afresh; bounds memory, never results.
+MEMO_WORDS, MEMO_IDS = 400_000, 3_000_000
+#: Rows and letters that are encoded at once; a longer text is encoded alone, and whole.
+PART_ROWS, PART_LETTERS = 2_000, 2_000_000
 
 _NO_RANK = 1 << 60
 _WORDS = regex.compile(WORD_PATTERN)
@@ -142,7 +144,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets by text, ids of all texts)."""
-        if len(self.counts) > MEMO_WORDS or len(self.words) > MEMO_WORDS:
+        if len(self.counts) > MEMO_WORDS or len(self.words) > MEMO_WORDS or len(self.flat) > MEMO_IDS:
             self.clear()
         pieces: list[int] = []
         at = [0]
@@ -172,6 +174,19 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive runs of texts."""
+    start = letters = 0
+    for k, text in enumerate(texts):
+        size = len(text) if text else 0
+        if k > start and (k - start == PART_ROWS or letters + size > PART_LETTERS):
+            yield start, k
+            start, letters = k, 0
+        letters += size
+    if texts:
+        yield start, len(texts)
+
+
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> DataFrame:
     """(``id_col``, ``ids``) of every row of ``df``, in one pass without any shuffle.
 
@@ -182,12 +197,11 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            # A list's offsets are 32 bits wide; pieces of 2,000 rows stay far below.
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                offsets, ids = encoder.encode_batch(part.column(1).to_pylist())
+            texts = batch.column(1).to_pylist()
+            for a, b in _parts(texts):
+                offsets, ids = encoder.encode_batch(texts[a:b])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "ids"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

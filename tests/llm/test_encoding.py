@@ -63,3 +63,12 @@ def test_round_trip():
     at, ids = e.encode_batch(data)
     assert all(b"".join(back[int(x)] for x in ids[at[i] : at[i + 1]]).decode() == t for i, t in enumerate(data))
     assert ids.dtype == np.int32
+
+
+def test_parts_cover_all_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "PART_ROWS", 3)
+    monkeypatch.setattr(bpe, "PART_LETTERS", 10)
+    for data in ([], [None], ["a"] * 7, ["x" * 50, "", None, "y" * 9, "zz", "z"], ["x" * 50, "x" * 50]):
+        parts = list(bpe._parts(data))
+        assert [k for a, b in parts for k in range(a, b)] == list(range(len(data))) and all(0 < b - a <= 3 for a, b in parts)
+        assert all(b - a == 1 or sum(len(t or "") for t in data[a:b]) <= 10 for a, b in parts)
