@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markweave.functions import text as X
-from markweave.functions.parsing import parse_reasoning, read_prediction
+from markweave.functions.parsing import parse_reasoning, parse_score, read_prediction
 from markweave.functions.scores import error_columns, rounded
 from markweave.operators.correlation import correlations
 from markweave.operators.prompts import token_estimate
@@ -79,6 +79,12 @@ def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict,
     return sent.unionByName(kept_back)
 
 
+def reconstruct_scores(prompts: DataFrame, make: Callable[[], Generator], parameters: dict) -> DataFrame:
+    """(``target_id``, ``reconstructed_overall``, ``verification_parse_error``): one answer per prompt, parsed without a rationale."""
+    answers = generate_answers(prompts, make, parameters).withColumn("p", parse_score("raw_model_output"))
+    return answers.select("target_id", F.col("p.predicted_overall").alias("reconstructed_overall"), F.col("p.error").alias("verification_parse_error"))
+
+
 def parse_candidates(answers: DataFrame) -> DataFrame:
     """Parsed candidates (``target_id``, ``candidate_id``, ``raw_model_output``, ``gold_overall``); one that names the gold score is rejected."""
     parsed = answers.withColumn("p", parse_reasoning("raw_model_output"))

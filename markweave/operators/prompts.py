@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from markweave.schema import OVERALL, TRAITS
 
@@ -52,6 +55,18 @@ def token_estimate(characters: Column, characters_per_token: float) -> Column:
     return F.floor(characters / F.lit(float(characters_per_token))).cast("int") + 1
 
 
+def token_counts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[int]]], text: str = "prompt", name: str = "prompt_tokens") -> DataFrame:
+    """``df`` with the number of tokens of a text by any tokenizer; ``make`` builds it once per task."""
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, T.IntegerType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = make()
+        for frame in frames:
+            yield frame.assign(**{name: count(frame[text].tolist())})[[f.name for f in schema.fields]]
+
+    return df.drop(name).mapInPandas(run, schema)
+
+
 def fit_histories(lengths: DataFrame, fixed: Column, budget: int, characters_per_token: float = 4.0) -> DataFrame:
     """(``target_id``, ``fitting_size``, ``prompt_token_estimate``): the longest prefix of the history that keeps the prompt in the budget.
 

@@ -28,3 +28,23 @@ PREDICTION = T.StructType(
     + [T.StructField("prompt", T.StringType()), T.StructField("raw_model_output", T.StringType()), T.StructField("raw_model_output_attempts", T.ArrayType(T.StringType()))]
     + [T.StructField("parse_attempts", T.IntegerType()), T.StructField("parse_error", T.StringType()), T.StructField("model_id", T.StringType()), T.StructField("sampling_parameters", SAMPLING)]
 )
+
+_TEXT, _WHOLE, _FLAG = T.StringType(), T.IntegerType(), T.BooleanType()
+
+
+def _record(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+CANDIDATE = _record(
+    target_id=_TEXT, rater_id=_TEXT, candidate_id=_WHOLE, gold_overall=_WHOLE, reference_reasoning=_TEXT, score_leak=_FLAG, history_ids=T.ArrayType(_TEXT), history_size=_WHOLE, prompt_token_estimate=_WHOLE,
+    prompt=_TEXT, raw_model_output=_TEXT, parse_error=_TEXT, sampling_parameters=SAMPLING, reconstructed_overall=_WHOLE, verified=_FLAG, verification_prompt=_TEXT, verification_raw_output=_TEXT,
+    verification_parse_error=_TEXT, verification_prompt_token_estimate=_WHOLE,
+)
+K_RECORD = _record(
+    target_id=_TEXT, source_row_id=T.LongType(), rater_id=_TEXT, K=_WHOLE, gold_overall=_WHOLE, predicted_overall=_WHOLE, exact_correct=_FLAG, absolute_error=_WHOLE, squared_error=_WHOLE, prediction_reasoning=_TEXT,
+    history_ids=T.ArrayType(_TEXT), history_rater_ids=T.ArrayType(_TEXT), prompt_tokens=_WHOLE, output_tokens=_WHOLE, context_fit=_FLAG, parse_success=_FLAG, retry_count=_WHOLE, parse_error=_TEXT,
+    inference_time_seconds=T.DoubleType(), raw_model_output=_TEXT, raw_model_output_attempts=T.ArrayType(_TEXT), prompt=_TEXT,
+)
+SEED_RECORD = T.StructType([T.StructField("seed", T.LongType()), T.StructField("reused_from_base_pilot", _FLAG), *(f for f in K_RECORD.fields if f.name not in ("history_rater_ids", "output_tokens", "context_fit", "raw_model_output_attempts"))])
+CONTEXT_DETAIL = _record(target_id=_TEXT, rater_id=_TEXT, phase=_TEXT, k=_WHOLE, output_budget=_WHOLE, history_ids=_TEXT, target_in_history=_FLAG, prompt_tokens=_WHOLE)
