@@ -52,13 +52,15 @@ _NUM, _NAME, _UNIT, _PLAIN = 1, 2, 3, 4
 
 _TAG = re.compile(r"<[!/?]?[A-Za-z][^<>]{0,200}>")
 _HIDDEN = re.compile(r"[­​-‏⁠﻿]")
-_BROKEN_LINE = re.compile(r"(?<=\w)-\s*\n[>\s]*(?=\w)")
+_BROKEN_LINE = re.compile(r"(?<=\w)-[ \t]*\r?\n[>\s]*(?=\w)")
 _MARKS = re.compile(r"[̀-ͯ]")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Words apart from case, punctuation, markup and layout."""
+    """Words apart from case, punctuation, markup and layout; a word broken at a line's end is one."""
+    if "-" in text and "\n" in text:
+        text = _BROKEN_LINE.sub("", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
