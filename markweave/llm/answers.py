@@ -289,6 +289,8 @@ def judge(raw: str | None, prompt: str | None, gold: int | None, candidate: bool
     leak = after is not None
     if leak and after < 3:
         tail = None  # it ends with the score itself
+    if tail and '"' in opened:
+        tail = "!"  # neither a last stop nor the end of the string: either alone would be no defect
     if tail == "!":
         return "truncated", None, finals_of(text)
     return ("score_leak" if leak else None), tail, finals_of(text)

@@ -36,8 +36,8 @@ def test_truncated_without_the_corpus(raw):
 
 
 def test_the_corpus_judges_open_ends():
-    assert A.judge('{"predicted_overall": 3, "reas', PROMPT, 3, True)[:2] == (None, " reas")
-    assert A.judge('{"reasoning": "It is fine. The comma use is uneven', PROMPT, 3, True)[1] == "is uneven"
+    assert defect('{"predicted_overall": 3, "reas') == "truncated" and defect('{"reasoning": "It is fine. The comma use is uneven') == "truncated"
+    assert A.judge('{"reasoning": "It is fine. The comma use is uneven"}', PROMPT, 3, True)[:2] == (None, "is uneven")
     assert A.judge('{"reasoning": "It is fine. The comma use is uneven.', PROMPT, 3, True)[:2] == (None, None)
 
 
