@@ -3,7 +3,8 @@
 Method: a pushdown parser reads fences, brackets, strings, lists and markup and reports what is left open; greedy
 string tiling against the prompt finds echoes, script and function-word checks find other languages, refusal and score
 grammars find the rest. Whether a text without a last stop breaks off is decided by how sentences end in all answers
-(the final two words of every closed sentence of the corpus, joined by key).
+(how often the last two words close a sentence among all their uses in the corpus, joined by key; a share, so that it
+doesn't move with the size of the data).
 
 Defined results: a null, empty or blank answer is ``empty``; a null prompt is never echoed; exact repetitions and
 repeated deliveries of a record count once, with the first defect in the order of ``DEFECTS`` that any of them has;
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +29,8 @@ DEFECTS = ("empty", "refusal", "echo", "language", "truncated", "score_leak")
 TILE, ECHO_SHARE = 5, 0.6
 #: Words an answer has at least before it can be an echo.
 ECHO_WORDS = 8
+#: Two words may end a text without a last stop if so large a share of their uses closes a sentence.
+CLOSING_SHARE = 0.2
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _FENCE = re.compile(r"```[a-zA-Z]*\s?|~~~[a-zA-Z]*\s?")
@@ -212,6 +216,7 @@ def refuses(text: str) -> bool:
 
 
 _FINAL = re.compile(r"([^\W_]+(?:['’\-/][^\W_]+)*)[\W_]{1,3}?([^\W_]+(?:['’\-/][^\W_]+)*)[\"”’)]*[.!?;]")
+_JOINED = re.compile(r"[^\W_]+(?:['’\-/][^\W_]+)*")
 _TAIL = re.compile(r"(?:([^\W_]+(?:['’\-/][^\W_]+)*)[\W_]{1,3}?)?([^\W_]+(?:['’\-/][^\W_]+)*)[\W_]*\Z")
 _DANGLING = frozenset("a an the of in on at to for with from by and or but nor so if as than that which who whose when while because although though yet very my your his her its our their this these those is are was were be been has have had not no".split())
 
@@ -240,6 +245,13 @@ def finals_of(text: str) -> list[str]:
     return [f"{a.lower()} {b.lower()}" for a, b in _FINAL.findall(text)]
 
 
+def pairs_of(text: str, ends: bool) -> list[str]:
+    """All neighbouring words of a text, in the form of ``finals_of``; the last two only where the text ends with them."""
+    found = list(_JOINED.finditer(text))
+    pairs = [f"{a.group().lower()} {b.group().lower()}" for a, b in zip(found, found[1:]) if b.start() - a.end() <= 3]
+    return pairs if ends or not pairs or found[-1].start() - found[-2].end() > 3 else pairs[:-1]
+
+
 # Words for the scores 1 to 5.
 _SCORE_WORDS = {1: "one", 2: "two", 3: "three", 4: "four", 5: "five"}
 
@@ -270,21 +282,22 @@ def leak_end(text: str, gold: int | None) -> int | None:
     return len(bare) - ends[-1] if ends else None
 
 
-def judge(raw: str | None, prompt: str | None, gold: int | None, candidate: bool) -> tuple[str | None, str | None, list[str]]:
-    """(defect or null, tail for the corpus to judge or null, final words of the closed sentences)."""
+def judge(raw: str | None, prompt: str | None, gold: int | None, candidate: bool) -> tuple[str | None, str | None, list[str], list[str]]:
+    """(defect or null, tail for the corpus to judge or null, final words of the closed sentences, all pairs of words)."""
     if raw is None:
-        return "empty", None, []
+        return "empty", None, [], []
     text, opened = parse(raw)
     text = _INVISIBLE.sub("", text).strip()
     if not _SPOKEN.search(text) or text.strip(" .!-–—*_\"'").lower() in _MARKS:
-        return ("truncated" if ('"' in opened or "{" in opened) and _SPOKEN.search(raw) else "empty"), None, []
+        return ("truncated" if ('"' in opened or "{" in opened) and _SPOKEN.search(raw) else "empty"), None, [], []
     if refuses(text):
-        return "refusal", None, []
+        return "refusal", None, [], []
     if echoes(text, prompt):
-        return "echo", None, []
+        return "echo", None, [], []
     if mostly_foreign(text):
-        return "language", None, []
+        return "language", None, [], []
     tail = tail_of(text, opened)
+    pairs = pairs_of(text, tail is None)  # where a text breaks off says nothing about its last two words
     after = leak_end(text, gold) if candidate else None
     leak = after is not None
     if leak and after < 3:
@@ -292,8 +305,8 @@ def judge(raw: str | None, prompt: str | None, gold: int | None, candidate: bool
     if tail and '"' in opened:
         tail = "!"  # neither a last stop nor the end of the string: either alone would be no defect
     if tail == "!":
-        return "truncated", None, finals_of(text)
-    return ("score_leak" if leak else None), tail, finals_of(text)
+        return "truncated", None, finals_of(text), pairs
+    return ("score_leak" if leak else None), tail, finals_of(text), pairs
 
 
 def answer_records(predictions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -311,16 +324,21 @@ def defective_answers(records: DataFrame) -> DataFrame:
         for batch in batches:
             tables, _, numbers, prompts, answers, golds = (c.to_pylist() for c in batch.columns)
             found = [judge(a, p, g, t != "phase1_predictions") for t, p, a, g in zip(tables, prompts, answers, golds)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.list_(pa.string()))],
-                names=["record_table", "target_id", "candidate_id", "defect", "tail", "finals"],
-            )
-
-    judged = cut_lineage(records.mapInArrow(run, "record_table string, target_id string, candidate_id int, defect string, tail string, finals array<string>"))
-    known = judged.select(F.explode("finals").alias("tail")).distinct().withColumn("known", F.lit(True))
+            said = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]
+            none = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *said, none, none], names=names)
+            # The pairs of the batch, counted, as rows without a record.
+            closed, used = Counter(x for f in found for x in f[2]), Counter(x for f in found for x in f[3])
+            counts = [pa.array(list(x), t) for x, t in ((used, pa.string()), ([closed[k] for k in used], pa.int64()), (used.values(), pa.int64()))]
+            empty = [pa.nulls(len(used), t) for t in (pa.string(), pa.string(), pa.int32(), pa.string())]
+            yield pa.RecordBatch.from_arrays([*empty, *counts], names=names)
+
+    names = ["record_table", "target_id", "candidate_id", "defect", "tail", "closed", "used"]
+    judged = cut_lineage(records.mapInArrow(run, "record_table string, target_id string, candidate_id int, defect string, tail string, closed bigint, used bigint"))
+    known = judged.where("used IS NOT NULL").groupBy("tail").agg(F.sum("closed").alias("closed"), F.sum("used").alias("used")).where(F.col("closed") >= CLOSING_SHARE * F.col("used")).where("closed > 0").select("tail", F.lit(True).alias("known"))
     settled = judged.where("tail IS NULL AND defect IS NOT NULL").select("record_table", "target_id", "candidate_id", "defect")
-    # A sentence of the corpus that ends like this one: only the last stop is missing.
-    broken = judged.where("tail IS NOT NULL").join(known, "tail", "left")
+    # Enough sentences of the corpus end like this one: only the last stop is missing.
+    broken = judged.where("tail IS NOT NULL AND used IS NULL").join(known, "tail", "left")
     broken = broken.select("record_table", "target_id", "candidate_id", F.when(F.col("known"), F.col("defect")).otherwise(F.lit("truncated")).alias("defect")).where("defect IS NOT NULL")
     rank = F.array_position(F.array(*(F.lit(x) for x in DEFECTS)), F.col("defect"))
     first = settled.unionByName(broken).groupBy("record_table", "target_id", "candidate_id").agg(F.min(rank).alias("rank"))

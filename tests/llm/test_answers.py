@@ -70,3 +70,13 @@ def test_tables(spark):
     a, b = "phase1_predictions", "reference_candidates_unverified"
     assert got == {(a, "3:1", 0, "truncated"), (a, "4:1", 0, "empty"), (b, "1:1", 2, "score_leak"), (b, "1:1", 3, "echo")}
     assert A.defective_answers(A.answer_records(p.where("false"), c.where("false"))).count() == 0
+
+
+def test_one_closing_use_does_not_clear_a_cut(spark):
+    whole = ["The comma use of the writer is uneven.", "The plan of the writer works.", "The ideas of the writer grow slowly."] * 4 + ["It was the fault of the writer."]
+    rows = [(f"{k}:1", PROMPT, f'{{"reasoning": "{x}"}}', 3) for k, x in enumerate([*whole, "It is fine. The comma use of the writer", "It is fine. The comma use is uneven", "The comma use is uneven."])]
+    schema = "target_id string, prompt string, raw_model_output string, gold_overall int"
+    c = spark.createDataFrame([], "target_id string, candidate_id string, prompt string, raw_model_output string, gold_overall int")
+    for times in (1, 20):  # the same judgement at any size
+        p = spark.createDataFrame(rows * times, schema)
+        assert {tuple(r) for r in A.defective_answers(A.answer_records(p, c)).collect()} == {("phase1_predictions", "13:1", 0, "truncated")}
