@@ -86,6 +86,21 @@ def unfit_targets(targets: DataFrame, fitted: DataFrame) -> DataFrame:
     return targets.join(fitted, "target_id", "left_anti")
 
 
+def fit_prompts(targets: DataFrame, blocks: DataFrame, template: str, budget: int, characters_per_token: float, key: str = "target_id", **slots: Column) -> DataFrame:
+    """As ``build_prompts``, with the last histories dropped until the prompt fits, their number left in ``fitting_size``.
+
+    ``key`` names a row of ``targets``. Raises where a target and the instructions alone exceed the budget.
+    """
+    joined = targets.join(blocks, "target_id")
+    filled = lambda history: render(template, {"history": history, "target_essay": F.col("Text"), **slots})
+    lengths = joined.select(F.col(key).alias("target_id"), F.length(filled(F.lit(""))).alias("fixed"), F.posexplode("blocks").alias("at", "block"))
+    fitted = fit_histories(lengths.select("target_id", "fixed", (F.col("at") + 1).alias("rn"), F.length("block").alias("block_length")), F.col("fixed"), budget, characters_per_token)
+    if unfit := unfit_targets(joined.select(F.col(key).alias("target_id")), fitted).take(3):
+        raise ValueError(f"target and instructions exceed the context estimate of {budget}: {[r.target_id for r in unfit]} (up to three named)")
+    sized = joined.join(fitted.withColumnRenamed("target_id", key), key)
+    return sized.withColumn("prompt", filled(F.array_join(F.slice("blocks", F.lit(1), F.col("fitting_size")), SEPARATOR))).drop("blocks")
+
+
 def build_prompts(targets: DataFrame, blocks: DataFrame, template: str, **slots: Column) -> DataFrame:
     """``targets`` (with ``Text``) with ``prompt`` and its estimate at four characters a token."""
     joined = targets.join(blocks, "target_id")

@@ -51,8 +51,7 @@ def _history(s: SparkSession, d: str) -> DataFrame:
 
 def _fit(s: SparkSession, d: str) -> DataFrame:
     r = rows(s, d, True)
-    chosen = history.sample_targets(r.drop("Text"), 200, SEED, HISTORY)
-    h = history.sample_histories(r.drop("Text"), HISTORY, SEED, chosen)
+    h = history.sample_histories(r.drop("Text"), HISTORY, SEED)
     block = prompts.history_block(F.col("rn"), F.col("history_id"), F.col("htext"), {k: F.col(k) for k in SCORES})
     lengths = h.join(r.select(F.col("target_id").alias("history_id"), F.col("Text").alias("htext"), *SCORES), "history_id").select("target_id", "rn", F.length(block).alias("block_length"))
     lengths = lengths.join(r.select("target_id", F.length(F.coalesce("Text", F.lit(""))).alias("own")), "target_id")
@@ -61,7 +60,7 @@ def _fit(s: SparkSession, d: str) -> DataFrame:
 
 def _prompts(s: SparkSession, d: str) -> DataFrame:
     r = rows(s, d, True)
-    chosen = history.sample_targets(r.drop("Text"), 200, SEED, HISTORY)
+    chosen = history.eligible_targets(r.drop("Text"), HISTORY)
     h = history.sample_histories(r.drop("Text"), 3, SEED, chosen)
     built = prompts.build_prompts(r.join(chosen.select("target_id"), "target_id").select("target_id", "rater_id", "Text"), prompts.format_histories(h, r), prompts.TEMPLATES["prediction"])
     return built.select("target_id", "rater_id", F.length("prompt").alias("characters"), "prompt_token_estimate", F.sha2("prompt", 256).alias("digest"))

@@ -85,8 +85,11 @@ def run_conversion(spark: SparkSession, source: str, output: str) -> tuple[DataF
     return wide, summary, counts
 
 
-def run_phases(wide: DataFrame, make: Callable[[], pipeline.Generator], output: str, num_targets: int, history_size: int, seed: int, candidates: int = 3, max_retries: int = 1) -> dict[str, DataFrame]:
-    """Predict, explain, verify, compare and sum up. Every phase's records are written and read back by the next one."""
+def run_phases(wide: DataFrame, make: Callable[[], pipeline.Generator], output: str, num_targets: int, history_size: int, seed: int, candidates: int = 3, max_retries: int = 1, max_model_len: int = 4096, reserved_output_tokens: int = 384, characters_per_token: float = 3.0) -> dict[str, DataFrame]:
+    """Predict, explain, verify, compare and sum up. Every phase's records are written and read back by the next one.
+
+    Each phase drops a target's last histories until its prompt fits the context, and raises if the target alone doesn't.
+    """
     spark = wide.sparkSession
     ship_library(spark)
 
@@ -99,12 +102,13 @@ def run_phases(wide: DataFrame, make: Callable[[], pipeline.Generator], output:
     histories = kept("histories", history.sample_histories(rows.drop("Text"), history_size, seed, targets))
     blocks = kept("blocks", prompts.format_histories(histories, rows))
     chosen = rows.join(targets.select("target_id"), "target_id").select("target_id", "rater_id", "Text", F.col(OVERALL).cast("int").alias("gold_overall"))
-    asked = prompts.build_prompts(chosen, blocks, prompts.TEMPLATES["prediction"]).drop("Text")
+    context = (max_model_len - reserved_output_tokens, characters_per_token)
+    asked = prompts.fit_prompts(chosen, blocks, prompts.TEMPLATES["prediction"], *context).drop("Text")
     predictions = kept("phase1_predictions", asked.join(pipeline.predict(asked, make, {}, max_retries), "target_id"))
-    explain = prompts.build_prompts(chosen, blocks, prompts.TEMPLATES["reference"], gold_overall=F.col("gold_overall"))
+    explain = prompts.fit_prompts(chosen, blocks, prompts.TEMPLATES["reference"], *context, gold_overall=F.col("gold_overall"))
     unverified = kept("reference_candidates_unverified", pipeline.reference_candidates(pipeline.generate_answers(explain, make, {}, candidates), chosen))
     usable = unverified.where("parse_error IS NULL").join(chosen.select("target_id", "rater_id", "Text"), "target_id").withColumn("key", F.concat_ws("#", "target_id", F.col("candidate_id").cast("string")))
-    verify = prompts.build_prompts(usable, blocks, prompts.TEMPLATES["verification"], reference_reasoning=F.col("reference_reasoning"))
+    verify = prompts.fit_prompts(usable, blocks, prompts.TEMPLATES["verification"], *context, "key", reference_reasoning=F.col("reference_reasoning"))
     rebuilt = pipeline.reconstruct_scores(verify.select(F.col("key").alias("target_id"), "prompt"), make, {})
     key = F.split("target_id", "#")
     rebuilt = rebuilt.select(key[0].alias("target_id"), key[1].cast("int").alias("candidate_id"), "reconstructed_overall", "verification_parse_error")

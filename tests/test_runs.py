@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from markweave.operators import experiments, prompts
@@ -51,3 +52,20 @@ def test_context_table(spark, sf):
     assert sorted(r.prompt_tokens for r in prompts.token_counts(df, lambda: lambda texts: [len(t.split()) for t in texts]).collect()) == [0, 3]
     counted = runs.context_table(wide.limit(0), (1,), 7, {"prediction": 1}, lambda x: prompts.token_counts(x, lambda: lambda texts: [len(t) for t in texts]))
     assert counted.agg(F.count("*")).first()[0] == 0
+
+
+def test_phases_fit_the_context(spark, sf, tmp_path):
+    wide = spark.read.parquet(f"{sf}/rater_essay_wide.parquet")
+    got = runs.run_phases(wide, stub(), str(tmp_path), 10, 5, 7, max_model_len=2000)["predictions"].select("prompt_token_estimate", "fitting_size", F.length("prompt").alias("n")).collect()
+    assert len(got) == 10 and all(r.prompt_token_estimate == r.n // 3 + 1 <= 2000 - 384 for r in got) and min(r.fitting_size for r in got) < 5
+    with pytest.raises(ValueError, match="exceed the context"):
+        runs.run_phases(wide, stub(), str(tmp_path / "small"), 10, 4, 7, max_model_len=400)
+
+
+def test_prompts_and_fits_of_all_targets(spark, sf):
+    from markweave.operators import history
+    from markweave.plans import experiments as E
+
+    d = sf.replace("sf0.001", "sf0.01")
+    want = history.eligible_targets(E.rows(spark, d), E.HISTORY).count()
+    assert want > 200 and E._prompts(spark, d).count() == want and E._fit(spark, d).count() == want
