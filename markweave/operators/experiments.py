@@ -74,18 +74,29 @@ def context_fit(detail: DataFrame, max_lengths: tuple[int, ...]) -> DataFrame:
     return one.select("phase", "k", "targets_total", "output_budget", *(f"prompt_tokens_{x}" for x in ("mean", "median", "p90", "p95", "max")), F.inline(grid))
 
 
+def placed(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``place`` from 0 in the order of columns, the first of them a string: counted per prefix first, then within it."""
+    prefix = F.substring(F.col(order[0]), 1, 2)
+    counts = df.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("k"))
+    starts = counts.select("prefix", (F.sum("k").over(Window.orderBy("prefix")) - F.col("k")).alias("start"))  # a row per prefix
+    inside = F.row_number().over(Window.partitionBy("prefix").orderBy(*order))
+    return df.withColumn("prefix", prefix).withColumn("inside", inside).join(starts, "prefix").withColumn("place", F.col("start") + F.col("inside") - 1).drop("prefix", "inside", "start")
+
+
+def number_reasonings(references: DataFrame) -> DataFrame:
+    """(``reasoning_no``, ``reasoning``): every different text of the references (``target_id``, ``reference_reasoning``) by its first target."""
+    texts = references.groupBy("reference_reasoning").agg(F.min("target_id").alias("t"))
+    return placed(texts, "t", "reference_reasoning").select(F.col("place").alias("reasoning_no"), F.col("reference_reasoning").alias("reasoning"))
+
+
 def assign_round_robin(targets: DataFrame, reasonings: DataFrame, order: str = "target_id") -> DataFrame:
     """Each target with the reasoning whose place is the target's modulo their number, in order of ids.
 
-    Places of targets are counted per hash-free range: first per prefix of the ordering key, then within it.
+    Places of targets are counted per hash-free range, see ``placed``.
     """
-    prefix = F.substring(F.col(order), 1, 2)
-    counts = targets.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("k"))
-    starts = counts.select("prefix", (F.sum("k").over(Window.orderBy("prefix")) - F.col("k")).alias("start"))  # a row per prefix
-    placed = targets.withColumn("prefix", prefix).withColumn("inside", F.row_number().over(Window.partitionBy("prefix").orderBy(order))).join(starts, "prefix").withColumn("place", F.col("start") + F.col("inside") - 1).drop("prefix", "inside", "start")
     n = reasonings.agg(F.count("*").alias("reasonings"))
     listed = reasonings.select("reasoning_no", "reasoning")
-    counted = placed.join(n, F.lit(True)).where("reasonings > 0")  # the other side is one row
+    counted = placed(targets, order).join(n, F.lit(True)).where("reasonings > 0")  # the other side is one row
     return counted.withColumn("reasoning_no", F.col("place") % F.col("reasonings")).drop("place", "reasonings").join(listed, "reasoning_no")
 
 

@@ -114,9 +114,7 @@ def _context_violations(s: SparkSession, d: str) -> DataFrame:
 
 
 def _robin(s: SparkSession, d: str) -> DataFrame:
-    texts = references(s, d).groupBy("reference_reasoning").agg(F.min("target_id").alias("t")).orderBy("t", "reference_reasoning").limit(3)
-    listed = texts.agg(F.sort_array(F.collect_list(F.struct("t", "reference_reasoning"))).alias("x")).select(F.posexplode("x").alias("reasoning_no", "x")).select(F.col("reasoning_no").cast("bigint").alias("reasoning_no"), F.col("x.reference_reasoning").alias("reasoning"))
-    return experiments.assign_round_robin(latest_predictions(s, d).select("target_id"), listed)
+    return experiments.assign_round_robin(latest_predictions(s, d).select("target_id"), experiments.number_reasonings(references(s, d)))
 
 
 def _resume(s: SparkSession, d: str) -> DataFrame:

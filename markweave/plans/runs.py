@@ -124,19 +124,25 @@ def run_phases(wide: DataFrame, make: Callable[[], pipeline.Generator], output:
     return {"predictions": predictions, "candidates": verified, "reasoning_quality": quality, "detail": detail} | results | tables
 
 
-def context_table(wide: DataFrame, sizes: tuple[int, ...], seed: int, budgets: dict[str, int], count: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def context_table(wide: DataFrame, sizes: tuple[int, ...], seed: int, budgets: dict[str, int], count: Callable[[DataFrame], DataFrame] | None = None, references: DataFrame | None = None) -> DataFrame:
     """Prompt sizes of every eligible target for each history size and phase, as ``experiments.context_fit`` takes them.
 
     ``count`` maps (``target_id``, ``phase``, ``k``, ``prompt``) to rows with ``prompt_tokens``; without it the estimate of four
-    characters a token is used.
+    characters a token is used. The verification prompts hold the reasonings of ``references`` (``target_id``, ``reference_reasoning``)
+    in turn; without it they hold none and are too short by that much.
     """
     rows = history.experiment_rows(wide, with_text=True)
     h = history.sample_histories(rows.drop("Text"), max(sizes), seed)
+    asked = rows.select("target_id", "rater_id", "Text", OVERALL)
+    if references is None:
+        asked = asked.withColumn("reasoning", F.lit(""))
+    else:
+        asked = asked.join(experiments.assign_round_robin(rows.select("target_id"), experiments.number_reasonings(references)), "target_id")
     out: DataFrame | None = None
     for k in sizes:
         blocks = prompts.format_histories(h.where(F.col("rn") <= k), rows)
         for phase, budget in budgets.items():
-            built = prompts.build_prompts(rows.select("target_id", "rater_id", "Text", OVERALL), blocks, prompts.TEMPLATES[phase], gold_overall=F.col(OVERALL).cast("int"), reference_reasoning=F.lit(""))
+            built = prompts.build_prompts(asked, blocks, prompts.TEMPLATES[phase], gold_overall=F.col(OVERALL).cast("int"), reference_reasoning=F.col("reasoning"))
             part = built.select("target_id", "rater_id", F.lit(phase).alias("phase"), F.lit(k).alias("k"), F.lit(budget).alias("output_budget"), F.col("prompt_token_estimate").alias("prompt_tokens"), "prompt")
             out = part if out is None else out.unionByName(part)
     return out.drop("prompt") if count is None else count(out.drop("prompt_tokens"))

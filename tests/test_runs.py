@@ -69,3 +69,15 @@ def test_prompts_and_fits_of_all_targets(spark, sf):
     d = sf.replace("sf0.001", "sf0.01")
     want = history.eligible_targets(E.rows(spark, d), E.HISTORY).count()
     assert want > 200 and E._prompts(spark, d).count() == want and E._fit(spark, d).count() == want
+
+
+def test_context_table_uses_every_reasoning(spark, sf):
+    from markweave.plans import experiments as E
+
+    texts = E.references(spark, sf).select("reference_reasoning").distinct().count()
+    targets = E.latest_predictions(spark, sf).count()
+    assert E._robin(spark, sf).select("reasoning").distinct().count() == min(texts, targets) > 3
+    wide = spark.read.parquet(f"{sf}/rater_essay_wide.parquet")
+    total = lambda **x: runs.context_table(wide, (1,), 7, {"verification": 64}, **x).agg(F.sum("prompt_tokens"), F.count("*")).first()
+    plain, full = total(), total(references=E.references(spark, sf))
+    assert full[1] == plain[1] and full[0] > plain[0] + 5 * plain[1]
