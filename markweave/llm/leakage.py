@@ -8,7 +8,8 @@ document holds with at most one changed word in ten.
 
 The passages are the query side: their windows are built on the driver in blocks of a bounded size (``block_items``
 passages, each block one pass over the corpus, so that what a worker holds never grows with either side). Lines that
-several passages share are instructions and are taken out first, by a count over all passages.
+several different passages share are instructions and are taken out first, by a count over all passages; where they are
+most of a passage they are the passage itself and stay.
 
 Defined results: null, empty and blank texts or passages match nothing; repeated documents and repeated passages are
 reported one by one; ties (several runs of one item) give the longest run; extra columns are ignored. No caps.
@@ -72,8 +73,8 @@ def words_of(text: str) -> list[str]:
 
 
 def shared_lines(passages: DataFrame, text_col: str = "text", least: int = SHARED_LINE) -> DataFrame:
-    """(``line``, ``n``): lines that at least ``least`` passages share."""
-    lines = passages.select(F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), r"\R"), lambda x: F.trim(F.lower(x))))).alias("line"))
+    """(``line``, ``n``): lines that at least ``least`` different passages share."""
+    lines = passages.select(text_col).distinct().select(F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), r"\R"), lambda x: F.trim(F.lower(x))))).alias("line"))
     return lines.where("line <> ''").groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -87,7 +88,10 @@ class PassageIndex:
         names: dict[str, list[int]] = {}
         split: list[list[str]] = []
         for item, text in items:
-            kept = "\n".join(x for x in re.split(r"\r\n|\r|\n", text or "") if x.strip().lower() not in instructions)
+            lines = re.split(r"\r\n|\r|\n", text or "")
+            kept = "\n".join(x for x in lines if x.strip().lower() not in instructions)
+            if 2 * len(words_of(kept)) < len(words_of(text or "")):
+                kept = "\n".join(lines)
             for m in re.finditer(r"[^\W_]+", kept):
                 x = names.setdefault(m.group().lower(), [0, 0])
                 opens = not kept[: m.start()].rstrip(" “\"'(") or kept[: m.start()].rstrip(" “\"'(")[-1] in ".!?:\n"

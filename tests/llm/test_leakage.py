@@ -50,3 +50,11 @@ def test_longest_against_brute_force():
                 if e[a] and e[b - 1] and (~e[a:b]).sum() <= L.CHANGED * (b - a):
                     best = max(best, b - a)
         assert L.longest(e) == best
+
+
+def test_passage_under_three_questions(spark):
+    rows = [(k, "Read the passage below.\n" + PASSAGE + "\n" + q) for k, q in enumerate(("What changed?", "Who counted?", "Where did the council vote?"))] + [(k, "Read the passage below.\nAnother text of the set.") for k in (3, 4, 5)]
+    docs = spark.createDataFrame([(1, PASSAGE)], "doc_id bigint, text string")
+    found = L.leaked_passages(docs, spark.createDataFrame(rows, "item_id bigint, text string")).where("verdict = 'leaked'")
+    assert {r.item_id for r in found.collect()} == {0, 1, 2}
+    assert {r.line for r in L.shared_lines(spark.createDataFrame(rows[3:], "item_id bigint, text string")).collect()} == set()
