@@ -61,6 +61,7 @@ NOTICES = [
     r"<noscript>[^<]{5,}",
     r"\bbitte aktivieren sie javascript\b|\bjavascript (?:ist deaktiviert|muss aktiviert)|\bactiv(?:e|a|ar) javascript (?:para|y)\b|\bhabilite (?:o )?javascript\b|\bative o javascript\b|\bveuillez activer javascript\b|\baktifkan javascript\b|\babilita(?:re)? javascript\b",
     r"javascript\s*を\s*(?:有効|オン)|请启用\s*javascript|javascript\s*を許可",
+    r"\b(?:schakel javascript in|javascript is uitgeschakeld|włącz javascript|javascript'i etkinleştirin)\b|\bвключите javascript\b|启用\s*javascript|javascript를 (?:활성화|사용)|\battiva(?:re)? javascript\b",
 ]
 _STATUS = r"(?:not found|forbidden|internal server error|service unavailable|bad gateway|gateway time-?out|bad request|unauthori[sz]ed|too many requests|gone|request time-?out|method not allowed|not implemented)"
 ERRORS = [
@@ -85,6 +86,8 @@ ERRORS = [
     r"página (?:não encontrada|indisponível)|erro interno do servidor|acesso negado, sua",
     r"halaman tidak ditemukan|kesalahan server internal|akses ditolak, sesi",
     r"ページが見つかりません|サーバーエラーが発生|アクセスが拒否されました|セッションの有効期限が切れ|アクセス権がありません",
+    r"pagina non trovata|accesso negato|errore interno del server|pagina niet gevonden|toegang geweigerd|nie znaleziono strony|strony nie znaleziono|sayfa bulunamadı",
+    r"страница не найдена|страницу не удалось найти|доступ запрещ[её]н|внутренняя ошибка сервера|页面未找到|找不到页面|拒绝访问|페이지를 찾을 수 없습니다",
 ]
 _FILLER_SENTENCE = (
     r"text goes here|your text here|type (?:your text )?here to begin|this is a sample paragraph|this is (?:placeholder|dummy|sample|filler) text|example content for layout only|"
@@ -98,16 +101,15 @@ _LATIN = rf"\b(?:{'|'.join(FILLER_LATIN)})(?:[\s,.;]+(?:{'|'.join(FILLER_LATIN)}
 
 #: Literals in lower case of which each grammar needs at least one; one Aho-Corasick pass looks for all of them.
 TRIGGERS = {
-    "placeholder": "{ <% << < @@ [[ *| __ xx_ %".split(" ") + ["here]", "[insert", "[your", "[add", "[enter", "[ ", "(add", "(insert", "(enter", "(fill in", "tbd:", "tba:", "todo:", "fixme:"],
-    "notice": ["javascript", "java script", "scripts", "script ", "noscript"],
+    "placeholder": "{ < @@ [ *| __ xx_ %".split(" ") + ["(add", "(insert", "(enter", "(fill in", "tbd:", "tba:", "todo:", "fixme:"],
+    "notice": ["script"],
     "error_page": [
-        *(f"{a} {b}" for a in ("404", "403", "500", "503", "502", "504", "400", "401", "429", "410", "408", "405", "501") for b in ("not", "for", "int", "ser", "bad", "gat", "una", "too", "gon", "req", "met")),
-        *(f"{a}: " for a in ("404", "403", "500", "503", "502", "504", "400", "401", "429", "410", "408", "405", "501")), "error 4", "error 5", "error: ", "error code", "time-out", "timeout", "page not found", "oops!", "access denied",
-        "session has expired", "unexpected error", "do not have permission to", "the page you", "no longer available", "was removed or its", "been moved or deleted", "down for maintenance", "too long to respond", "could not connect",
+        "error", "not found", "forbidden", "unavailable", "bad gateway", "gateway time", "bad request", "unauthori", "too many requests", "gone", "request time", "not allowed", "not implemented", "oops!", "access denied",
+        "session has expired", "do not have permission to", "the page you", "no longer available", "was removed or its", "been moved or deleted", "down for maintenance", "too long to respond", "could not connect",
         "upstream se", "request id:", "página", "acceso denegado", "sesión ha caducado", "seite nicht", "serverfehler", "zugriff verw", "sitzung ist", "page introuvable", "erreur interne", "accès refusé", "erro interno", "acesso negado",
-        "halaman tidak", "kesalahan server", "akses ditolak", "ページが", "サーバーエラー", "アクセス", "セッション",
+        "halaman tidak", "kesalahan server", "akses ditolak", "ページが", "サーバーエラー", "アクセス", "セッション", "pagina n", "accesso negato", "errore interno", "toegang gewe", "страниц", "доступ запрещ", "внутренняя ошибка", "页面未找到", "找不到页面", "拒绝访问", "페이지를 찾을", "strony nie", "nie znaleziono strony", "sayfa bulunamad",
     ],
-    "filler": ["text goes", "your text", "here to begin", "sample paragraph", "sample text", "is placeholder", "is dummy", "is filler", "for layout only", "blah blah", "todo write", "replace this", "in this space", "asdf", "text here", "your content", "coming soon", "content goes", "to add text", "to edit text", "here to add", "here to edit", "lorem", "ipsum", "dolor", "amet", "vulo", "nostri", "velum", "munda", "calvum", "tempor", "idrani", "pelum", "orbis", "tenet", "quas", "karta", "aliqu", "sertia", "facile", " sed ", "laboris", "veniam", "commodo", "officia"],
+    "filler": ["text goes", "your text", "here to begin", "sample paragraph", "sample text", "is placeholder", "is dummy", "is filler", "for layout only", "blah", "todo write", "replace this", "in this space", "asdf", "text here", "your content", "coming soon", "content goes", "to add text", "to edit text", *FILLER_LATIN],
 }
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S | re.I)
 _QUOTE = re.compile(r"[“\"«‘]([^”\"»’\n]{1,80})[”\"»’]")
