@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markweave.llm import answers, bpe, consensus, leakage, overlap, reading, residue, splits
 from markweave.llm.names import essay_name
+from markweave.llm.sql import oracle_sql  # noqa: F401
 from markweave.session import ship_library, table
 
 
@@ -17,12 +18,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_raters(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.accuracies(consensus.ratings(table(spark, d, "rater_essay_wide")))
+    a = consensus.accuracies(consensus.ratings(table(spark, d, "rater_essay_wide")))
+    return a.select("rater_no", "n_ratings", *(F.round(c, 6).alias(c) for c in ("mean_score", "sd_score", "agreement", "accuracy")))
 
 
 def _consensus(spark: SparkSession, d: str, score: str) -> DataFrame:
-    rated = consensus.ratings(table(spark, d, "rater_essay_wide"), score)
-    return consensus.consensus(rated, consensus.accuracies(rated))
+    wide = table(spark, d, "rater_essay_wide")
+    rated = consensus.ratings(wide, score)
+    return consensus.consensus(rated, consensus.accuracies(rated), consensus.item_names(wide))
 
 
 def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
@@ -111,23 +114,3 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: _shipped(q) for q in _ALL}
-
-
-def oracle_sql() -> dict[str, str]:
-    """Only what SQL can say on whole tables; the others are held against brute force in the tests."""
-    key = r"regexp_replace(regexp_replace(lower(regexp_replace(Filename, '^\s+|\s+$', '', 'g')), '\.txt$', ''), '[\s_\-]+', '_', 'g')"
-    return {
-        "p4_found": rf"""
-            WITH RECURSIVE keyed AS (
-                SELECT DISTINCT source_row_id, nullif({key}, '') AS name, try_cast(nullif(regexp_extract(rater_id, '(\d+)', 1), '') AS BIGINT) AS rater
-                FROM rater_essay_wide),
-            ties AS (
-                SELECT 's' || source_row_id AS a, 'f' || name AS b FROM keyed WHERE source_row_id IS NOT NULL AND name IS NOT NULL
-                UNION SELECT 's' || source_row_id, 'r' || rater FROM keyed WHERE source_row_id IS NOT NULL AND rater IS NOT NULL
-                UNION SELECT 'f' || name, 'r' || rater FROM keyed WHERE name IS NOT NULL AND rater IS NOT NULL),
-            edges AS (SELECT a, b FROM ties UNION SELECT b, a FROM ties),
-            walk(start, node) AS (
-                SELECT DISTINCT rater, 'r' || rater FROM keyed WHERE rater IS NOT NULL
-                UNION SELECT walk.start, edges.b FROM walk JOIN edges ON edges.a = walk.node)
-            SELECT CAST(substr(node, 2) AS BIGINT) AS source_row_id, min(start) AS group_rater FROM walk WHERE node LIKE 's%' GROUP BY node""",
-    }
