@@ -33,7 +33,7 @@ PASSES = 2
 LIMIT = 0.98
 MIN_RATINGS = 20
 #: Below this accuracy an annotator doesn't follow the quality the others see.
-FAITHFUL = 0.35
+FAITHFUL = 0.3
 
 
 def _item(wide: DataFrame) -> Column:

@@ -63,6 +63,11 @@ def p3_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.reading_levels(table(spark, d, "rater_essay_wide"))
 
 
+def p3_quality(spark: SparkSession, d: str) -> DataFrame:
+    """How the fitted top level alone stands against the averages."""
+    return reading.level_quality(reading.reading_levels(table(spark, d, "rater_essay_wide")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_of_rows(splits.tied_groups(table(spark, d, "rater_essay_wide")))
 
@@ -101,7 +106,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return residue.template_residue(table(spark, d, "documents"))
 
 
-_ALL = (p1_found, p1_raters, p1_consensus, p1_consensus_cohesion, p2_found, p2_report, p3_found, p3_levels, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_kinds)
+_ALL = (p1_found, p1_raters, p1_consensus, p1_consensus_cohesion, p2_found, p2_report, p3_found, p3_levels, p3_quality, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_kinds)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
