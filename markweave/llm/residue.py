@@ -78,7 +78,10 @@ NOTICES = [
     r"javascript\s*を\s*(?:有効|オン)|请启用\s*javascript|javascript\s*を許可",
     r"\b(?:schakel javascript in|javascript is uitgeschakeld|włącz javascript|javascript'i etkinleştirin)\b|\bвключите javascript\b|启用\s*javascript|javascript를 (?:활성화|사용)|\battiva(?:re)? javascript\b",
 ]
-_STATUS = r"(?:not found|forbidden|internal server error|service unavailable|bad gateway|gateway time-?out|bad request|unauthori[sz]ed|too many requests|gone|request time-?out|method not allowed|not implemented)"
+STATUSES = (
+    "not found", "forbidden", "internal server error", "service unavailable", "bad gateway", "gateway timeout", "gateway time-out", "bad request", "unauthorized", "unauthorised", "too many requests", "gone", "request timeout", "request time-out", "method not allowed", "not implemented",
+)
+_STATUS = f"(?:{'|'.join(STATUSES)})"
 ERRORS = [
     rf"\b(?:http )?(?:error )?[45]\d\d:? {_STATUS}\b",
     r"(?:^|<title>|<h1>)[^\w\n]*(?:http )?error(?: code)?:? \d{3,4}\b(?! and| or|,)",
@@ -104,12 +107,14 @@ ERRORS = [
     r"pagina non trovata|accesso negato|errore interno del server|pagina niet gevonden|toegang geweigerd|nie znaleziono strony|strony nie znaleziono|sayfa bulunamadı",
     r"страница не найдена|страницу не удалось найти|доступ запрещ[её]н|внутренняя ошибка сервера|页面未找到|找不到页面|拒绝访问|페이지를 찾을 수 없습니다",
 ]
-_THING = r"(?:text|content|copy|title|heading|headline|caption|name|body|paragraph|sentence|section|words?|answer|reason|idea|introduction|conclusion|summary|description|essay)"
-_NOT_YET = r"(?:placeholder|dummy|sample|filler|example|default|temporary)"
+THINGS = "text content copy title heading headline caption name body paragraph sentence section words word answer reason idea introduction conclusion summary description essay".split()
+NOT_YET = "placeholder dummy sample filler example default temporary".split()
+TO_DO = "write add insert describe fill".split()
+_THING, _NOT_YET, _TO_DO = (f"(?:{'|'.join(x)})" for x in (THINGS, NOT_YET, TO_DO))
 #: Sentences of a form that was never filled: an order to write in a place, something that goes there later, something that calls itself a stand-in.
 _FILLER_SENTENCE = (
     rf"(?:please )?(?:type|write|insert|enter|add|put|place|paste)(?: (?:your|the|some|a|an|my|own|\w+)){{0,3}} (?:here|in this (?:space|box|field|area))(?: to \w+)?|(?:your |the |some )?(?:\w+ )?{_THING} (?:goes|comes|will go|will appear|belongs) (?:here|in this space)|your {_THING} here|"
-    rf"th(?:is|ese) (?:is|are) (?:only |just )?(?:an? |some )?{_NOT_YET} {_THING}(?: only)?|{_NOT_YET} {_THING} (?:for|only)(?: \w+){{0,3}}|replace (?:this|these|the) (?:\w+ )?{_THING}(?: (?:with|by)(?: \w+)+)?|(?:todo|to do):? (?:write|add|insert|describe|fill)(?: \w+)+|"
+    rf"th(?:is|ese) (?:is|are) (?:only |just )?(?:an? |some )?{_NOT_YET} {_THING}(?: only)?|{_NOT_YET} {_THING} (?:for|only)(?: \w+){{0,3}}|replace (?:this|these|the) (?:\w+ )?{_THING}(?: (?:with|by)(?: \w+)+)?|(?:todo|to do):? {_TO_DO}(?: \w+)+|"
     rf"(?:{_THING} )?coming soon|click (?:here )?to (?:add|edit)(?: \w+)? {_THING}|bla+h?(?:[ ,]+bla+h?)+|(?:asdf|qwer(?:ty)?|jkl|zxcv)(?: (?:asdf|qwer(?:ty)?|jkl|zxcv))*"
 )
 FILLER = [rf"\b(?:{_FILLER_SENTENCE})[.!]?(?:\s+(?:{_FILLER_SENTENCE})[.!]?)+", rf"^\W*(?:{_FILLER_SENTENCE})[.!]?\W*$"]
@@ -119,12 +124,15 @@ TRIGGERS = {
     "placeholder": "{ < @@ [ *| __ xx_ %".split(" ") + ["(add", "(insert", "(enter", "(fill in", "tbd:", "tba:", "todo:", "fixme:"],
     "notice": ["script"],
     "error_page": [
-        "error", "not found", "forbidden", "unavailable", "bad gateway", "gateway time", "bad request", "unauthori", "too many requests", "gone", "request time", "not allowed", "not implemented", "oops!", "access denied",
+        *(f"{digit}{colon} {status}" for digit in range(10) for colon in ("", ":") for status in STATUSES), "error", "page not found", "request timeout (", "request time-out (", "oops!", "access denied",
         "session has expired", "do not have permission to", "the page you", "no longer available", "was removed or its", "been moved or deleted", "down for maintenance", "too long to respond", "could not connect",
         "upstream se", "request id:", "página", "acceso denegado", "sesión ha caducado", "seite nicht", "serverfehler", "zugriff verw", "sitzung ist", "page introuvable", "erreur interne", "accès refusé", "erro interno", "acesso negado",
         "halaman tidak", "kesalahan server", "akses ditolak", "ページが", "サーバーエラー", "アクセス", "セッション", "pagina n", "accesso negato", "errore interno", "toegang gewe", "страниц", "доступ запрещ", "внутренняя ошибка", "页面未找到", "找不到页面", "拒绝访问", "페이지를 찾을", "strony nie", "nie znaleziono strony", "sayfa bulunamad",
     ],
-    "filler": [" here", "in this ", "placeholder", "dummy", "sample", "filler", "example", "default", "temporary", "replace th", "todo", "to do", "coming soon", "click ", "bla", "asdf", "qwer", "jkl", "zxcv"],
+    "filler": [
+        " here", "in this space", "in this box", "in this field", "in this area", *(f"{a} {b}" for a in NOT_YET for b in THINGS), "replace th", *(f"{a}{b} {c}" for a in ("todo", "to do") for b in ("", ":") for c in TO_DO),
+        "coming soon", "click to ", "click here to ", "bla ", "bla,", "blah", "blaa", "asdf", "qwer", "jkl", "zxcv",
+    ],
     "latin": sorted(_ANCHORS),
 }
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]+`|<(code|pre)>.*?</\1>", re.S | re.I)
@@ -194,17 +202,23 @@ class _Span:
 _PASSAGE_WORDS = frozenset(w for passage in FILLER_PASSAGES for w in passage.split())
 #: A masked line such as "name: ____" stands for content only where a form was never filled; it is left to others.
 def _automaton() -> ahocorasick.Automaton:
-    kinds: dict[str, set[str]] = {}
+    automaton = ahocorasick.Automaton()
     for kind, literals in TRIGGERS.items():
         for x in literals:
-            kinds.setdefault(x, set()).add(kind)
-    automaton = ahocorasick.Automaton()
-    for x, k in kinds.items():
-        automaton.add_word(x, frozenset(k))
+            automaton.add_word(x, [*automaton.get(x, []), (kind, x)])
     automaton.make_automaton()
     return automaton
 
 
+def triggered_kinds(text: str) -> set[str]:
+    """Kinds of which the text holds enough literals for their grammar to match: one, for filler Latin as many different ones as a run needs."""
+    hits = {x for _, found in _TRIGGERED.iter(text.lower()) for x in found}
+    kinds = {kind for kind, _ in hits}
+    if "latin" in kinds and sum(kind == "latin" for kind, _ in hits) < DIFFERENT:
+        kinds.remove("latin")
+    return kinds
+
+
 _TRIGGERED = _automaton()
 GRAMMARS = {"placeholder": _PLACEHOLDER, "notice": _NOTICE, "error_page": _ERROR, "filler": _FILL, "latin": _Latin}
 
@@ -231,11 +245,8 @@ def find_residue(text: str | None) -> dict[str, int]:
     found: dict[str, int] = {}
     if not text or not text.strip():
         return found
-    triggered: set[str] = set()
-    for _, kinds in _TRIGGERED.iter(text.lower()):
-        triggered |= kinds
     spared: list[tuple[int, int]] | None = None
-    matches = [(kind, m) for kind in sorted(triggered) for m in GRAMMARS[kind].finditer(text)] + [("filler", m) for m in _Repeated.finditer(text)]
+    matches = [(kind, m) for kind in sorted(triggered_kinds(text)) for m in GRAMMARS[kind].finditer(text)] + [("filler", m) for m in _Repeated.finditer(text)]
     for kind, m in matches:
         if spared is None:
             spared = _spared(text)
