@@ -1,10 +1,12 @@
 """Defective answers to prompts, each with the type of its defect.
 
-Method: a pushdown parser reads fences, brackets, strings, lists and markup and reports what is left open; greedy
-string tiling against the prompt finds echoes, script and function-word checks find other languages, refusal and score
-grammars find the rest. Whether a text without a last stop breaks off is decided by how sentences end in all answers
-(how often the last two words close a sentence among all their uses in the corpus, joined by key; a share, so that it
-doesn't move with the size of the data).
+Method: a pushdown parser reads fences, brackets, strings, quotations, lists and markup and keeps on its stack what is left
+open at the end; greedy string tiling against the prompt finds echoes, script checks and a character n-gram profile of English
+find other languages, refusal and score grammars find the rest. A text without a last stop breaks off where a string, a
+quotation or an element is open, a list's last item or a tag has only begun, or the last word can't end a sentence; what is
+left (a text that might lack its last stop only) is decided by how sentences end in all answers: by the share of the uses of
+its last two words that closes a sentence, with ``CLOSING_PRIOR`` uses that don't added, so that it doesn't move with the size of
+the data and a single answer that ends so settles nothing.
 
 Defined results: a null, empty or blank answer is ``empty``; a null prompt is never echoed; exact repetitions and
 repeated deliveries of a record count once, with the first defect in the order of ``DEFECTS`` that any of them has;
@@ -18,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +30,12 @@ from markweave.session import cut_lineage
 DEFECTS = ("empty", "refusal", "echo", "language", "truncated", "score_leak")
 #: Tiles of at least so many words count, and an answer is an echo from this share of tiled words on.
 TILE, ECHO_SHARE = 5, 0.6
-#: Words an answer has at least before it can be an echo.
-ECHO_WORDS = 8
-#: Two words may end a text without a last stop if so large a share of their uses closes a sentence.
-CLOSING_SHARE = 0.2
+#: Two words may end a text without a last stop if so large a share of their uses, and of so many more, closes a sentence.
+CLOSING_SHARE, CLOSING_PRIOR = 0.2, 5
+#: Mean log-probability of a letter under the profile of English: from the first on a text is English as a whole, below the second a sentence is in another language.
+ENGLISH, FOREIGN = -2.6, -3.3
+#: Share of particles above which a sentence is English whatever its other words; words that a sentence without them has at least to be foreign by letters that could be English.
+PARTICLES, LONG = 1 / 8, 7
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _FENCE = re.compile(r"```[a-zA-Z]*\s?|~~~[a-zA-Z]*\s?")
@@ -41,9 +46,14 @@ _MARKS = frozenset(("n/a", "na", "none", "null", "nil", "nan", "tbd", "todo", "n
 _INVISIBLE = re.compile("[­​-‏ -‮⁠﻿]")
 
 
+_NUMBER = re.compile(r"\s*-?\d*(?:\.\d+)?\s*")
+
+
 def _strings(value, out: list[str]) -> None:
+    """All strings of a parsed value but bare numbers: a score says nothing."""
     if isinstance(value, str):
-        out.append(value)
+        if not _NUMBER.fullmatch(value):
+            out.append(value)
     elif isinstance(value, dict):
         for v in value.values():
             _strings(v, out)
@@ -52,11 +62,47 @@ def _strings(value, out: list[str]) -> None:
             _strings(v, out)
 
 
-def parse(raw: str) -> tuple[str, str]:
-    """(what the answer says, what the pushdown parser finds open at its end: any of ``{ [ " `` and a fence)."""
-    fences = len(re.findall(r"```", raw))
+#: Elements that an author closes; others (li, p, br) often stay open in whole texts.
+_CLOSED = frozenset("a b blockquote body code div em font form h1 h2 h3 h4 h5 h6 html i ol pre section small span strong table tbody td th tr u ul".split())
+_QUOTES = {"“": "”", "«": "»", "„": "“", "「": "」"}
+_PUSHDOWN = re.compile(r"(?P<fence>```|~~~)|<(?P<tag>/?[A-Za-z][A-Za-z0-9]*)\b[^<>]*(?P<end>>|\Z)|(?P<quote>[“”«»„「」])|(?P<item>^[ \t]*(?:[-*•+]|\d{1,3}[.)])[ \t]*\Z)", re.M)
+
+
+def left_open(text: str) -> list[str]:
+    """What a text leaves open at its end: fences, quotation marks, elements, and ``begun`` for a tag or list item of which only the start is there."""
+    stack: list[str] = []
+    for m in _PUSHDOWN.finditer(text):
+        if m.group("fence"):
+            if "fence" in stack:
+                del stack[stack.index("fence") :]
+            else:
+                stack.append("fence")
+        elif m.group("tag"):
+            name = m.group("tag").lower()
+            if m.group("end") != ">":
+                stack.append("begun")
+            elif name[0] == "/":
+                if name[1:] in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(name[1:]) :]
+            elif name in _CLOSED and not m.group().endswith("/>"):
+                stack.append(name)
+        elif m.group("quote"):
+            mark = m.group("quote")
+            at = next((k for k in range(len(stack) - 1, -1, -1) if _QUOTES.get(stack[k]) == mark), None)
+            if at is not None:
+                del stack[at]
+            elif mark in _QUOTES:
+                stack.append(mark)
+        else:
+            stack.append("begun")
+    return stack
+
+
+def parse(raw: str) -> tuple[str, list[str]]:
+    """(what the answer says, what the pushdown parser finds open at its end: brackets, ``"`` for a string, and what ``left_open`` names)."""
     bare = _INVISIBLE.sub("", _FENCE.sub("", raw)).strip()
     first = min((k for k in (bare.find("{"), bare.find("[")) if k >= 0), default=-1)
+    said, opened = None, []
     if first >= 0:
         last = max(bare.rfind("}"), bare.rfind("]"))
         if last > first:
@@ -65,18 +111,29 @@ def parse(raw: str) -> tuple[str, str]:
                 if isinstance(value, (dict, list)):
                     out: list[str] = []
                     _strings(value, out)
-                    around = f"{bare[:first]} {bare[last + 1:]}".strip()
-                    if len(around) > 60:
-                        out.append(around)
-                    return "\n".join(out), "```" * (fences % 2)
+                    said = "\n".join([*out, *_beside(bare[:first], bare[last + 1 :])])
             except (ValueError, RecursionError):
                 pass
-        if re.match(r'[{\[]\s*(?:["}\]]|\Z)', bare[first:]):
-            return _tolerant(bare[first:], fences)
-    return _LABEL.sub("", bare), "```" * (fences % 2)
+        if said is None and re.match(r'[{\[]\s*(?:["}\]]|\Z)', bare[first:]):
+            out, opened = _tolerant(bare[first:])
+            said = "\n".join([*_beside(bare[:first], ""), *out])
+    if said is None:
+        said = _LABEL.sub("", bare)
+    return said, opened + left_open(said)
+
+
+_OPENER = re.compile(r"^(?:(?:sure|okay|ok|certainly|of course|absolutely|yes|thanks?|thank you)\b[,.!:; ]*)+", re.I)
 
 
-def _tolerant(text: str, fences: int) -> tuple[str, str]:
+def _beside(before: str, after: str) -> list[str]:
+    """What is said beside an object; an announcement that ends in a colon and a bare courtesy say nothing."""
+    before = _OPENER.sub("", _LABEL.sub("", before).strip())
+    if before.endswith(":"):
+        before = before[: max((before.rfind(x) for x in ".!?\n"), default=-1) + 1]
+    return [x for x in (before.strip(), _LABEL.sub("", after).strip()) if _SPOKEN.search(x)]
+
+
+def _tolerant(text: str) -> tuple[list[str], list[str]]:
     """Strings that are no keys, from JSON that doesn't parse; the stack of openers that nothing closed."""
     stack: list[str] = []
     out: list[str] = []
@@ -91,7 +148,7 @@ def _tolerant(text: str, fences: int) -> tuple[str, str]:
         closed = m.group(2) == '"'
         if not closed:
             stack.append('"')
-        if not re.match(r"\s*:", text[at:]):
+        if not re.match(r"\s*:", text[at:]) and not _NUMBER.fullmatch(m.group(1)):
             said = re.sub(r"\\u([0-9a-fA-F]{4})", lambda u: chr(int(u.group(1), 16)), m.group(1))
             out.append(re.sub(r'\\(["\\/])', r"\1", re.sub(r"\\[ntr]", "\n", said)))
     for c in text[at:]:
@@ -99,7 +156,7 @@ def _tolerant(text: str, fences: int) -> tuple[str, str]:
             stack.append(c)
         elif c in "}]" and stack:
             stack.pop()
-    return "\n".join(out), "".join(stack) + "```" * (fences % 2)
+    return out, stack
 
 
 # Refusals: an excuse or the model's own nature, inability in the first person, and the task that is declined.
@@ -113,50 +170,83 @@ _REFUSAL = re.compile(
 _EXCUSE = re.compile(r"^\W*(?:I['’]?m (?:very |really )?sorry|I am (?:very |really )?sorry|sorry\b(?! spots)|I apologi[sz]e|my apologies|unfortunately|regrettably|as an? (?:AI|language model|large language model))", re.I)
 _COURTESY = re.compile(r"thank you for|please consult|is there (?:something|anything) else|human assessment should|happy to help|feel free to", re.I)
 
-# Frequent function words by language.
-_FUNCTION_WORDS = {
-    "en": "the of and to in is that it for as with was on are be this by at from or an but not have which while would so yet though because across most more than its their his her shows".split(),
-    "es": "el la los las de del que y en un una por con para su es se lo como más pero sus al aunque hasta son muy entre está este esta".split(),
-    "pt": "o a os as de do da dos das que e em um uma por com para seu sua é se como mais mas ao embora até são muito este esta não".split(),
-    "fr": "le la les de des du que qui et en un une par avec pour son sa est se comme plus mais au aux même si ce cette jusqu dans ne pas sont".split(),
-    "de": "der die das den dem des und in ein eine einen einer zu mit für ist sich auf nicht auch als aber doch obwohl bis dieser diese dieses was im zum zur bleiben".split(),
-    "id": "yang dan di ke dari untuk dengan pada ini itu adalah sebagai tidak juga atau masih sehingga tetapi meskipun sampai karena tersebut beberapa cukup banyak".split(),
-    "it": "il lo la i gli le di del della che e in un una per con su è si come più ma al anche fino sono molto questo questa non".split(),
-    "nl": "de het een van en in is dat op te met voor niet aan als maar ook bij tot zijn deze dit om hoewel".split(),
-    "pl": "w i na z do że nie się jest to jak ale o po od przez dla oraz choć ten ta".split(),
-    "tr": "ve bir bu için ile de da çok ama gibi daha olarak ancak kadar".split(),
-}
-_LANGUAGES_OF: dict[str, list[str]] = {}
-for _lang, _words in _FUNCTION_WORDS.items():
-    for _w in _words:
-        _LANGUAGES_OF.setdefault(_w, []).append(_lang)
+# Two public English passages; their letters, in threes, are the profile of English.
+_ENGLISH = (
+    "Four score and seven years ago our fathers brought forth on this continent, a new nation, conceived in Liberty, and dedicated to the proposition that all men are created equal. Now we are engaged in a "
+    "great civil war, testing whether that nation, or any nation so conceived and so dedicated, can long endure. We are met on a great battle-field of that war. We have come to dedicate a portion of that "
+    "field, as a final resting place for those who here gave their lives that that nation might live. It is altogether fitting and proper that we should do this. But, in a larger sense, we can not "
+    "dedicate, we can not consecrate, we can not hallow this ground. The brave men, living and dead, who struggled here, have consecrated it, far above our poor power to add or detract. The world will "
+    "little note, nor long remember what we say here, but it can never forget what they did here. It is for us the living, rather, to be dedicated here to the unfinished work which they who fought here have "
+    "thus far so nobly advanced. It is rather for us to be here dedicated to the great task remaining before us, that from these honored dead we take increased devotion to that cause for which they gave the "
+    "last full measure of devotion, that we here highly resolve that these dead shall not have died in vain, that this nation, under God, shall have a new birth of freedom, and that government of the people, "
+    "by the people, for the people, shall not perish from the earth. "
+    "When in the course of human events, it becomes necessary for one people to dissolve the political bands which have connected them with another, and to assume among the powers of the earth, the separate "
+    "and equal station to which the laws of nature and of nature's God entitle them, a decent respect to the opinions of mankind requires that they should declare the causes which impel them to the separation. "
+    "We hold these truths to be self-evident, that all men are created equal, that they are endowed by their Creator with certain unalienable rights, that among these are life, liberty and the pursuit of "
+    "happiness. That to secure these rights, governments are instituted among men, deriving their just powers from the consent of the governed, that whenever any form of government becomes destructive of these "
+    "ends, it is the right of the people to alter or to abolish it, and to institute new government, laying its foundation on such principles and organizing its powers in such form, as to them shall seem most "
+    "likely to effect their safety and happiness. Prudence, indeed, will dictate that governments long established should not be changed for light and transient causes; and accordingly all experience hath shown, "
+    "that mankind are more disposed to suffer, while evils are sufferable, than to right themselves by abolishing the forms to which they are accustomed."
+)
+_KINDS = 28  # blank, a to z, any other letter
+
+
+def _letters(text: str) -> np.ndarray:
+    """Letters as numbers, with one blank before, between and after words."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = np.where((c >= 97) & (c <= 122), c - 96, np.where((c >= 0xC0) & ~((c >= 0x2000) & (c <= 0x206F)) & ~((c >= 0x3000) & (c <= 0x303F)), _KINDS - 1, 0)).astype(np.int64)
+    keep = kind > 0
+    keep[1:] |= kind[:-1] > 0
+    keep[0] = True
+    return kind[keep]
+
+
+def _profile() -> np.ndarray:
+    """Log-probabilities of a letter after two others: interpolated shares of threes, twos and ones of the passage."""
+    x = _letters(_ENGLISH)
+    three = np.bincount((x[:-2] * _KINDS + x[1:-1]) * _KINDS + x[2:], minlength=_KINDS**3).reshape(_KINDS, _KINDS, _KINDS).astype(float)
+    two, one = three.sum(axis=0), three.sum(axis=(0, 1))
+    p1 = (one + 0.5) / (one.sum() + _KINDS)
+    p2 = two / np.maximum(two.sum(axis=1, keepdims=True), 1)
+    p3 = three / np.maximum(three.sum(axis=2, keepdims=True), 1)
+    return np.log(0.5 * p3 + 0.35 * p2[None] + 0.15 * p1[None, None]).ravel()
+
+
+_LOG_P = _profile()
+# English particles, and those that other languages of this script write so too; the latter count half.
+_PARTICLES = dict.fromkeys("the of and to that it with are this by from but not has had which while would should could yet though because their his her its they you your what when where who how than then there these those been being if into after before about".split(), 1.0)
+_PARTICLES |= dict.fromkeys("a an as at be do for have i in is me my no on or so up was we he she".split(), 0.5)
 _OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯ֐-ۿऀ-෿฀-໿぀-ヿ㐀-鿿가-힯]")
 _SENTENCE = re.compile(r"(?<=[.!?;。！？])\s*|\n+")
 
 
+def english(text: str) -> float:
+    """Mean log-probability of the text's letters under the profile of English; 0 for a text without letters."""
+    x = _letters(text)
+    return float(_LOG_P[(x[:-2] * _KINDS + x[1:-1]) * _KINDS + x[2:]].mean()) if len(x) > 3 else 0.0
+
+
 def mostly_foreign(text: str) -> bool:
-    """More of the text in another language than in English, by sentences; quotations inside a sentence don't decide."""
-    english = foreign = 0.0
+    """More of the text in another language than in English, by sentences; quotations inside a sentence don't decide.
+
+    A sentence needs positive evidence to be English: enough of its words are English particles, or its letters fit the profile.
+    A short one without it decides nothing, unless its letters are far from the profile.
+    """
+    if english(text) >= ENGLISH:
+        return False
+    own = foreign = 0.0
     for s in _SENTENCE.split(text):
-        words = [w.lower() for w in _WORD.findall(s)]
+        words = _WORD.findall(s.lower())
         if not words:
             continue
         other = len(_OTHER_SCRIPT.findall(s))
-        size = len(words)
-        if other > 0.3 * sum(map(len, words)):
-            foreign += max(size, other / 2)
-            continue
-        votes: dict[str, int] = {}
-        for w in words:
-            for lang in _LANGUAGES_OF.get(w, ()):
-                votes[lang] = votes.get(lang, 0) + 1
-        en = votes.pop("en", 0)
-        best = max(votes.values(), default=0)
-        if best > en and best >= 2:
-            foreign += size
-        elif en or not best:
-            english += size
-    return foreign > english
+        if other > 0.3 * len(_SPOKEN.findall(s)):
+            foreign += max(len(words), other / 2)
+        elif sum(_PARTICLES.get(w, 0.0) for w in words) > PARTICLES * len(words) or (fit := english(s)) >= ENGLISH:
+            own += len(words)
+        elif len(words) >= LONG or (len(words) > 2 and fit < FOREIGN):
+            foreign += len(words)
+    return foreign > own
 
 
 def tiled_share(answer: list[str], prompt: list[str], tile: int = TILE) -> float:
@@ -197,12 +287,23 @@ def echoes(text: str, prompt: str | None) -> bool:
     if not prompt:
         return False
     words = [w.lower() for w in _WORD.findall(text)]
-    if len(words) < ECHO_WORDS:
+    if len(words) < TILE:
         return False
+    # Two bounds that no tiling can exceed: words that stand in the prompt, and words of runs that stand in it.
     lower = prompt.lower()
-    if sum(w in lower for w in set(words)) < 0.6 * len(set(words)):
+    known = {w: w in lower for w in set(words)}
+    if sum(known[w] for w in words) < ECHO_SHARE * len(words):
         return False
-    return tiled_share(words, _WORD.findall(lower)) >= ECHO_SHARE
+    theirs = _WORD.findall(lower)
+    joined = f" {' '.join(theirs)} "
+    bound = reach = 0
+    for k in range(len(words) - TILE + 1):
+        if all(known[w] for w in words[k : k + TILE]) and f" {' '.join(words[k : k + TILE])} " in joined:
+            bound += k + TILE - max(reach, k)
+            reach = k + TILE
+    if bound < ECHO_SHARE * len(words):
+        return False
+    return tiled_share(words, theirs) >= ECHO_SHARE
 
 
 def refuses(text: str) -> bool:
@@ -221,18 +322,18 @@ _TAIL = re.compile(r"(?:([^\W_]+(?:['’\-/][^\W_]+)*)[\W_]{1,3}?)?([^\W_]+(?:['
 _DANGLING = frozenset("a an the of in on at to for with from by and or but nor so if as than that which who whose when while because although though yet very my your his her its our their this these those is are was were be been has have had not no".split())
 
 
-def tail_of(text: str, opened: str) -> str | None:
-    """How a text breaks off, for the corpus to judge: its last two words, ``!`` where it is plain without the corpus, null where it ends."""
+def tail_of(text: str, opened: list[str]) -> str | None:
+    """How a text breaks off: its last two words for the corpus to judge, ``!`` where it is plain without the corpus, null where it ends."""
     text = text.rstrip()
     if not text:
         return "!" if opened else None
-    spoken = re.sub(r"\s*\{[^{}\n]{1,60}\}\s*\Z", "", text)  # a stray tag in braces after the last sentence
-    if spoken.count("“") > spoken.count("”"):
-        return "!"
-    if re.search(r"(?:…|\.\.\.)[\"”’)\]]*\Z", spoken):
+    spoken = re.sub(r"\s*\{[^{}\n]+\}\s*\Z", "", text)  # a stray tag in braces after the last sentence
+    if "begun" in opened or any(x in _QUOTES for x in opened) or re.search(r"(?:…|\.\.\.)[\"”’)\]]*\Z", spoken):
         return "!"
-    if re.search(r"[.!?。！？][\"”’)\]*_`]*\Z", spoken):
+    if re.search(r"[.!?。！？][\"”’)\]*_`]*(?:\s*</\w+>)*\Z", spoken):
         return None
+    if '"' in opened or any(x in _CLOSED for x in opened):
+        return "!"  # neither a last stop nor the end of the string or element: either alone would be no defect
     m = _TAIL.search(spoken)
     if not m:
         return None
@@ -302,8 +403,6 @@ def judge(raw: str | None, prompt: str | None, gold: int | None, candidate: bool
     leak = after is not None
     if leak and after < 3:
         tail = None  # it ends with the score itself
-    if tail and '"' in opened:
-        tail = "!"  # neither a last stop nor the end of the string: either alone would be no defect
     if tail == "!":
         return "truncated", None, finals_of(text), pairs
     return ("score_leak" if leak else None), tail, finals_of(text), pairs
@@ -335,7 +434,7 @@ def defective_answers(records: DataFrame) -> DataFrame:
 
     names = ["record_table", "target_id", "candidate_id", "defect", "tail", "closed", "used"]
     judged = cut_lineage(records.mapInArrow(run, "record_table string, target_id string, candidate_id int, defect string, tail string, closed bigint, used bigint"))
-    known = judged.where("used IS NOT NULL").groupBy("tail").agg(F.sum("closed").alias("closed"), F.sum("used").alias("used")).where(F.col("closed") >= CLOSING_SHARE * F.col("used")).where("closed > 0").select("tail", F.lit(True).alias("known"))
+    known = judged.where("used IS NOT NULL").groupBy("tail").agg(F.sum("closed").alias("closed"), F.sum("used").alias("used")).where(F.col("closed") >= CLOSING_SHARE * (F.col("used") + CLOSING_PRIOR)).select("tail", F.lit(True).alias("known"))
     settled = judged.where("tail IS NULL AND defect IS NOT NULL").select("record_table", "target_id", "candidate_id", "defect")
     # Enough sentences of the corpus end like this one: only the last stop is missing.
     broken = judged.where("tail IS NOT NULL AND used IS NULL").join(known, "tail", "left")

@@ -59,7 +59,7 @@ def test_tiling_against_brute_force():
 
 
 def tables(spark):
-    p = [("1:1", PROMPT, '{"reasoning": "The comma use is uneven."}', 3, "x"), ("2:1", PROMPT, '{"reasoning": "It is fine. The comma use is uneven"}', 3, "x"), ("3:1", PROMPT, '{"reasoning": "It is fine. The comma use is unev"}', 3, "x"), ("4:1", None, None, None, "x"), ("4:1", None, None, None, "x"), (None, None, "", 1, "x")]
+    p = [("1:1", PROMPT, '{"reasoning": "The comma use is uneven. It is uneven."}', 3, "x"), ("6:1", PROMPT, '{"reasoning": "The comma use is uneven."}', 3, "x"), ("2:1", PROMPT, '{"reasoning": "It is fine. The comma use is uneven"}', 3, "x"), ("3:1", PROMPT, '{"reasoning": "It is fine. The comma use is unev"}', 3, "x"), ("4:1", None, None, None, "x"), ("4:1", None, None, None, "x"), (None, None, "", 1, "x")]
     c = [("1:1", "cand_2", PROMPT, "score = 3", 3), ("1:1", "3", PROMPT, PROMPT, 3), ("5:1", "1", PROMPT, "word " * 30000 + "end.", 3)]
     return spark.createDataFrame(p, "target_id string, prompt string, raw_model_output string, gold_overall int, defect string"), spark.createDataFrame(c, "target_id string, candidate_id string, prompt string, raw_model_output string, gold_overall int")
 
@@ -80,3 +80,59 @@ def test_one_closing_use_does_not_clear_a_cut(spark):
     for times in (1, 20):  # the same judgement at any size
         p = spark.createDataFrame(rows * times, schema)
         assert {tuple(r) for r in A.defective_answers(A.answer_records(p, c)).collect()} == {("phase1_predictions", "13:1", 0, "truncated")}
+
+
+def test_what_stands_beside_an_object_is_read_at_any_length():
+    assert defect('I am unable to grade this essay. {"reasoning": "ok"}') == "refusal"
+    assert defect('{"reasoning": ""} I cannot assist with that.') == "refusal"
+    assert defect('Sure! Here is the result: {"reasoning": ""}') == "empty"
+    assert defect('{"predicted_overall": " 5 ", "reasoning": ""}') == "empty"
+    assert defect('Based on the history: {"reasoning": "The comma use is uneven."}') is None
+
+
+def test_one_answer_that_ends_so_settles_nothing(spark):
+    c = spark.createDataFrame([], "target_id string, candidate_id string, prompt string, raw_model_output string, gold_overall int")
+    rows = [("1:1", PROMPT, "The essay shows a clear structure and the writer", 3), ("2:1", PROMPT, "Much of this praise is for the writer.", 3)]
+    schema = "target_id string, prompt string, raw_model_output string, gold_overall int"
+    for n in (1, 2):
+        found = A.defective_answers(A.answer_records(spark.createDataFrame(rows[:n], schema), c)).collect()
+        assert [(r.target_id, r.defect) for r in found] == [("1:1", "truncated")]
+
+
+@pytest.mark.parametrize("raw", ["<div><ul><li>The plan is clear.</li><li", "<ul><li>The plan holds and the ending works</li>", "The plan is clear.\n1. The opening is short.\n2.", "The writer quotes “a long day and no", "The plan works.\n\n- It is clear.\n- ", '{"reasoning": "The plan works and the ending holds'])
+def test_the_stack_decides_truncation(raw):
+    assert defect(raw) == "truncated"
+
+
+@pytest.mark.parametrize("raw", ["<div><ul><li>The plan is clear.</li></ul></div>", "<p>The plan is clear.", "```\nThe plan is clear.", "1. The plan is clear.\n2. The ending works.", "The writer says “the old mill” and moves on.", '{"reasoning": "The plan works and the ending holds."'])
+def test_closed_texts_are_whole(raw):
+    assert defect(raw) is None
+
+
+def test_left_open():
+    assert A.left_open("<div>a <b>c</b> “d") == ["div", "“"]
+    assert A.left_open("```x\n<b>") == ["fence", "b"] and A.left_open("```<b>```") == []
+    assert A.left_open("</b> ” text") == [] and A.left_open("a < b and c") == []
+
+
+def test_echo_bounds_skip_no_echo():
+    import random
+
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(12)]
+    for _ in range(400):
+        prompt = [r.choice(words) for _ in range(30)]
+        at = r.randint(0, 20)
+        answer = prompt[at : at + r.randint(3, 9)] + [r.choice(words + ["zz"]) for _ in range(r.randint(0, 8))]
+        tiled = len(answer) >= A.TILE and A.tiled_share(answer, prompt) >= A.ECHO_SHARE
+        assert A.echoes(" ".join(answer), " ".join(prompt)) == tiled
+
+
+@pytest.mark.parametrize("text", ["Tämä essee on hyvin kirjoitettu ja sen rakenne on selkeä, mutta sanavarasto on suppea.", "Bài văn này có cấu trúc rõ ràng nhưng từ vựng còn hạn chế.", "Ez a dolgozat jól felépített, de a szókincse szegényes.", "Insha hii ina mpangilio mzuri lakini msamiati ni mdogo.", "Acest eseu este bine scris dar vocabularul este limitat."])
+def test_any_other_language(text):
+    assert A.mostly_foreign(text)
+
+
+@pytest.mark.parametrize("text", ["Spelling drifts in places.", "Good structure, weak vocabulary.", "On comparable texts this rater marks down missing articles, so I expect a cautious judgement.", "Ok."])
+def test_english_without_much_evidence(text):
+    assert not A.mostly_foreign(text)
