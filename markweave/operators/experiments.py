@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markweave.functions.scores import quadratic_kappa, rounded
+from markweave.operators.ranking import running_before
 
 
 def _kappa(ok):
@@ -75,12 +76,8 @@ def context_fit(detail: DataFrame, max_lengths: tuple[int, ...]) -> DataFrame:
 
 
 def placed(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``place`` from 0 in the order of columns, the first of them a string: counted per prefix first, then within it."""
-    prefix = F.substring(F.col(order[0]), 1, 2)
-    counts = df.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("k"))
-    starts = counts.select("prefix", (F.sum("k").over(Window.orderBy("prefix")) - F.col("k")).alias("start"))  # a row per prefix
-    inside = F.row_number().over(Window.partitionBy("prefix").orderBy(*order))
-    return df.withColumn("prefix", prefix).withColumn("inside", inside).join(starts, "prefix").withColumn("place", F.col("start") + F.col("inside") - 1).drop("prefix", "inside", "start")
+    """``df`` with ``place`` from 0 in the order of columns, over range partitions."""
+    return running_before(df, [], list(order), F.lit(1), "place")
 
 
 def number_reasonings(references: DataFrame) -> DataFrame:
@@ -90,10 +87,7 @@ def number_reasonings(references: DataFrame) -> DataFrame:
 
 
 def assign_round_robin(targets: DataFrame, reasonings: DataFrame, order: str = "target_id") -> DataFrame:
-    """Each target with the reasoning whose place is the target's modulo their number, in order of ids.
-
-    Places of targets are counted per hash-free range, see ``placed``.
-    """
+    """Each target with the reasoning whose place is the target's modulo their number, in order of ids."""
     n = reasonings.agg(F.count("*").alias("reasonings"))
     listed = reasonings.select("reasoning_no", "reasoning")
     counted = placed(targets, order).join(n, F.lit(True)).where("reasonings > 0")  # the other side is one row

@@ -10,15 +10,16 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markweave.functions import text as X
-from markweave.functions.parsing import parse_reasoning, parse_score, read_prediction
+from markweave.functions.parsing import parse_reasoning, parse_score, read_fields
 from markweave.functions.scores import error_columns, rounded
 from markweave.operators.correlation import correlations
 from markweave.operators.prompts import token_estimate
 
+# Fixed value: what the reasoning-quality table says of the two measures that aren't computed.
 NOTE = "METEOR/BERTScore unavailable: optional dependencies not installed"
 QUALITY = ("bleu_max", "rouge1_f1_max", "meteor_max", "bertscore_f1_max")
 
@@ -42,41 +43,48 @@ def generate_answers(prompts: DataFrame, make: Callable[[], Generator], paramete
     return prompts.select("target_id", "prompt").mapInPandas(run, "target_id string, candidate_id int, raw_model_output string")
 
 
-def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict, max_retries: int = 1, max_model_len: int | None = None, output_budget: int = 0) -> DataFrame:
-    """Predictions with a parse-retry loop of at most ``max_retries`` further attempts; prompts beyond the context aren't sent.
+_ANSWER = "target_id string, raw_model_output string, raw_model_output_attempts array<string>, parse_attempts int, predicted_overall int, reasoning string, parse_error string"
 
-    Adds ``raw_model_output``, ``raw_model_output_attempts``, ``parse_attempts``, ``predicted_overall``, ``reasoning``, ``parse_error``.
+
+def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict, max_retries: int = 1, max_model_len: int | None = None, output_budget: int = 0, batch_size: int = 16, tokens: Column | None = None) -> DataFrame:
+    """Predictions with at most ``max_retries`` further rounds for answers that don't parse; prompts beyond the context aren't sent.
+
+    Micro-batches of ``batch_size`` prompts go to the generator, and what has to be asked again goes as one batch, too. ``tokens``
+    counts a prompt's tokens (by default a token for every four letters). Adds ``raw_model_output``,
+    ``raw_model_output_attempts``, ``parse_attempts``, ``predicted_overall``, ``reasoning``, ``parse_error``.
     """
-    schema = "target_id string, raw_model_output string, raw_model_output_attempts array<string>, parse_attempts int, predicted_overall int, reasoning string, parse_error string"
+
+    def answered(generator: Generator, asked: list[str]) -> tuple[list[list[str]], list[dict]]:
+        attempts: list[list[str]] = [[] for _ in asked]
+        read: list[dict] = [{} for _ in asked]
+        waiting = list(range(len(asked)))
+        for _ in range(1 + max_retries):
+            for i, answers in zip(waiting, generator.generate([asked[i] for i in waiting], parameters, 1)):
+                attempts[i].append(answers[0])
+                read[i] = read_fields(answers[0], ("predicted_overall", "reasoning"))
+            waiting = [i for i in waiting if read[i]["error"]]
+            if not waiting:
+                break
+        return attempts, read
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generator = make()
         for frame in frames:
-            rows = []
-            first = generator.generate(frame["prompt"].tolist(), parameters, 1) if len(frame) else []
-            for target, prompt, answers in zip(frame["target_id"], frame["prompt"], first):
-                attempts = [answers[0]]
-                while True:
-                    try:
-                        score, reasoning = read_prediction(attempts[-1])
-                        error = None
-                        break
-                    except ValueError as e:
-                        score, reasoning, error = None, None, f"{type(e).__name__}: {e}"
-                    if len(attempts) > max_retries:
-                        break
-                    attempts.append(generator.generate([prompt], parameters, 1)[0][0])
-                rows.append((target, attempts[-1], attempts, len(attempts), score, reasoning, error))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            out["predicted_overall"] = out["predicted_overall"].astype("Int32")
-            yield out
-
-    fits = F.lit(True) if max_model_len is None else token_estimate(F.length("prompt"), 4.0) + output_budget <= max_model_len
-    sent = prompts.where(fits).select("target_id", "prompt").mapInPandas(run, schema)
+            for k in range(0, len(frame), batch_size):
+                part = frame.iloc[k : k + batch_size]
+                attempts, read = answered(generator, part["prompt"].tolist())
+                yield pd.DataFrame({
+                    "target_id": part["target_id"].tolist(), "raw_model_output": [x[-1] for x in attempts], "raw_model_output_attempts": attempts, "parse_attempts": [len(x) for x in attempts],
+                    "predicted_overall": pd.array([r.get("predicted_overall") for r in read], dtype="Int32"), "reasoning": [r.get("reasoning") for r in read], "parse_error": [r["error"] for r in read],
+                })
+
     if max_model_len is None:
-        return sent
-    kept_back = prompts.where(~fits).select("target_id", *(F.lit(None).cast(t).alias(n) for n, t in (("raw_model_output", "string"), ("raw_model_output_attempts", "array<string>"))), F.lit(0).alias("parse_attempts"), F.lit(None).cast("int").alias("predicted_overall"), F.lit(None).cast("string").alias("reasoning"), F.lit("context overflow").alias("parse_error"))
-    return sent.unionByName(kept_back)
+        return prompts.select("target_id", "prompt").mapInPandas(run, _ANSWER)
+    size = token_estimate(F.length("prompt"), 4.0) if tokens is None else tokens
+    fits = F.coalesce(size + output_budget <= max_model_len, F.lit(False))
+    none = {"raw_model_output": "string", "raw_model_output_attempts": "array<string>", "parse_attempts": "int", "predicted_overall": "int", "reasoning": "string"}
+    kept_back = prompts.where(~fits).select("target_id", *((F.lit(0) if n == "parse_attempts" else F.lit(None).cast(t)).alias(n) for n, t in none.items()), F.lit("context overflow").alias("parse_error"))
+    return prompts.where(fits).select("target_id", "prompt").mapInPandas(run, _ANSWER).unionByName(kept_back)
 
 
 def reconstruct_scores(prompts: DataFrame, make: Callable[[], Generator], parameters: dict) -> DataFrame:
@@ -141,4 +149,4 @@ def quality_error_correlations(detail: DataFrame, metrics: tuple[str, ...] = QUA
     """Spearman's correlation of each metric with the absolute error; null and count 0 without values."""
     long = detail.select(F.col("absolute_error").alias("y"), *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(["y"], list(metrics), "metric", "x")
     counts = long.groupBy("metric").agg(F.count("x").alias("count"))
-    return counts.join(correlations(long, ["metric"]).select("metric", F.col("spearman_correlation").alias("spearman_with_absolute_error")), "metric", "left")
+    return counts.join(correlations(long, ["metric"], spread=True).select("metric", F.col("spearman_correlation").alias("spearman_with_absolute_error")), "metric", "left")

@@ -9,6 +9,7 @@ OVERALL = "Overall"
 TRAITS = ("Cohesion", "Syntax", "Vocabulary", "Phraseology", "Grammar", "Conventions")
 SCORES = (OVERALL, *TRAITS)
 LEVELS = (1, 2, 3, 4, 5)
+SCORE_MIN, SCORE_MAX = LEVELS[0], LEVELS[-1]
 POSITIONS = (1, 2)
 SIDE_SCORES = (*SCORES, "Identifying_Info")
 
