@@ -211,11 +211,11 @@ def oracle_sql() -> dict[str, str]:
         "history_sample": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT * FROM hist",
         "history_nested": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT target_id, rater_id, CAST(K AS INTEGER) AS K, string_agg(history_id, '|' ORDER BY rn) AS history_ids FROM hist CROSS JOIN (SELECT unnest({list(SIZES)}) AS K) WHERE rn <= K GROUP BY target_id, rater_id, K",
         "history_violations": "SELECT unnest(['target_in_history', 'other_rater', 'repeated']) AS \"check\", CAST(0 AS BIGINT) AS violations",
-        "fit_history": f"""WITH {_ROWS}, {_CHOSEN.format(200)}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(HISTORY, 'own')},
+        "fit_history": f"""WITH {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(HISTORY, 'own')},
             len0 AS (SELECT hist.target_id, rn, length({block}) AS n, length(coalesce(o.Text, '')) + 500 AS fixed FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id JOIN tx o ON o.target_id = hist.target_id),
             est AS (SELECT target_id, rn AS k, CAST(floor((fixed + sum(n) OVER (PARTITION BY target_id ORDER BY rn) + (rn - 1) * 7) / 4.0) AS INTEGER) + 1 AS e FROM len0 UNION ALL SELECT DISTINCT target_id, 0, CAST(floor(fixed / 4.0) AS INTEGER) + 1 FROM len0)
             SELECT target_id, CAST(max(k) AS INTEGER) AS fitting_size, arg_max(e, k) AS prompt_token_estimate FROM est WHERE e <= {BUDGET} GROUP BY target_id""",
-        "prediction_prompts": f"""WITH {_ROWS}, {_CHOSEN.format(200)}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(3, 'own')},
+        "prediction_prompts": f"""WITH {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(3, 'own')},
             blocks AS (SELECT hist.target_id, string_agg({block}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS b FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id GROUP BY hist.target_id),
             p AS (SELECT target_id, rater_id, {quoted(head)} || b || {quoted(middle)} || coalesce(Text, '') AS prompt FROM chosen JOIN blocks USING (target_id) JOIN tx USING (target_id))
             SELECT target_id, rater_id, length(prompt) AS characters, CAST(floor(length(prompt) / 4.0) AS INTEGER) + 1 AS prompt_token_estimate, sha256(prompt) AS digest FROM p""",
@@ -255,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "merged_runs": f"WITH {_records((1,))} SELECT CAST(7 AS BIGINT) AS seed, K, true AS reused_from_base_pilot, count(*) AS records FROM rec WHERE K IN (3, 5) GROUP BY K UNION ALL SELECT seed, K, false, count(*) FROM rec WHERE K IN (3, 5) GROUP BY seed, K",
         "context_fit": "WITH g AS (SELECT * FROM context_detail CROSS JOIN (SELECT unnest(" + str(list(MAX_LENGTHS)) + ") AS max_model_len)) SELECT phase, k, CAST(max_model_len AS INTEGER) AS max_model_len, count(*) AS targets_total, count(*) FILTER (WHERE prompt_tokens + output_budget <= max_model_len) AS targets_fit, round(avg(CAST(prompt_tokens + output_budget <= max_model_len AS INTEGER)), 6) AS fit_rate, min(output_budget) AS output_budget, round(avg(prompt_tokens), 6) AS prompt_tokens_mean, round(quantile_cont(CAST(prompt_tokens AS DOUBLE), 0.5), 6) AS prompt_tokens_median, round(quantile_cont(CAST(prompt_tokens AS DOUBLE), 0.9), 6) AS prompt_tokens_p90, round(quantile_cont(CAST(prompt_tokens AS DOUBLE), 0.95), 6) AS prompt_tokens_p95, max(prompt_tokens) AS prompt_tokens_max FROM g GROUP BY phase, k, max_model_len",
         "context_violations": "WITH x AS (SELECT *, string_split(history_ids, '|') AS ids FROM context_detail) SELECT count(*) FILTER (WHERE list_contains(ids, target_id)) AS target_in_history, count(*) FILTER (WHERE len(ids) <> k) AS wrong_size, count(*) FILTER (WHERE len(list_distinct(ids)) <> len(ids)) AS repeated, count(*) FILTER (WHERE target_in_history) AS flagged FROM x",
-        "round_robin": f"WITH {_LATEST}, {_REFS}, l AS (SELECT row_number() OVER (ORDER BY t, reference_reasoning) - 1 AS reasoning_no, reference_reasoning AS reasoning FROM (SELECT reference_reasoning, min(target_id) AS t FROM refs GROUP BY reference_reasoning) ORDER BY t, reference_reasoning LIMIT 3), p AS (SELECT target_id, (row_number() OVER (ORDER BY target_id) - 1) % 3 AS reasoning_no FROM latest) SELECT target_id, reasoning_no, reasoning FROM p JOIN l USING (reasoning_no)",
+        "round_robin": f"WITH {_LATEST}, {_REFS}, l AS (SELECT row_number() OVER (ORDER BY t, reference_reasoning) - 1 AS reasoning_no, reference_reasoning AS reasoning FROM (SELECT reference_reasoning, min(target_id) AS t FROM refs GROUP BY reference_reasoning)), p AS (SELECT target_id, (row_number() OVER (ORDER BY target_id) - 1) % (SELECT count(*) FROM l) AS reasoning_no FROM latest) SELECT target_id, reasoning_no, reasoning FROM p JOIN l USING (reasoning_no)",
         "resume_anti_join": f"WITH {_records((1, 2))} SELECT seed, K, count(*) AS \"left\" FROM rec WHERE NOT (seed = 1 AND K IN (3, 5) AND parse_success) GROUP BY seed, K",
     }
 
