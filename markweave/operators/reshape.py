@@ -93,11 +93,12 @@ def conversion_violations(raw: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def _value_violations(raw: DataFrame, wide: DataFrame) -> DataFrame:
+    """Rows of either side whose key the other lacks, or whose identity, rater or a score differs."""
+    names = ("Filename", "text_id_kaggle", "Text", "rater_id", *SIDE_SCORES)
     sides = [F.struct(F.lit(p).alias("rater_position"), trimmed(F.col(f"Rater_{p}").cast("string")).alias("rater_id"), *(number(F.col(f"{s}_{p}").cast("string")).alias(s) for s in SIDE_SCORES)) for p in POSITIONS]
-    want = raw.select("source_row_id", F.inline(F.array(*sides))).alias("a")
-    got = wide.select("source_row_id", "rater_position", "rater_id", *SIDE_SCORES).alias("b")
-    j = want.join(got, ["source_row_id", "rater_position"], "full")
-    differs = ~F.col("a.rater_id").eqNullSafe(F.col("b.rater_id"))
-    for s in SIDE_SCORES:
-        differs = differs | ~F.col(f"a.{s}").eqNullSafe(F.col(f"b.{s}"))
-    return j.agg(F.count_if(differs).alias("violations")).select(F.lit("values").alias("check"), "violations")
+    want = raw.select("source_row_id", *names[:3], F.inline(F.array(*sides))).withColumn("wanted", F.lit(True)).alias("a")
+    got = wide.select("source_row_id", "rater_position", *names).withColumn("there", F.lit(True)).alias("b")
+    differs = F.col("wanted").isNull() | F.col("there").isNull()
+    for c in names:
+        differs = differs | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return want.join(got, ["source_row_id", "rater_position"], "full").agg(F.count_if(differs).alias("violations")).select(F.lit("values").alias("check"), "violations")

@@ -117,6 +117,11 @@ def _robin(s: SparkSession, d: str) -> DataFrame:
     return experiments.assign_round_robin(latest_predictions(s, d).select("target_id"), experiments.number_reasonings(references(s, d)))
 
 
+def _delivered(s: SparkSession, d: str) -> DataFrame:
+    """(``target_id``, ``rater_id``, ``history_id``) of every delivered prediction."""
+    return table(s, d, "phase1_predictions").select("target_id", "rater_id", F.explode("history_ids").alias("history_id"))
+
+
 def _resume(s: SparkSession, d: str) -> DataFrame:
     wanted = k_records(s, d, (1, 2)).select("seed", "K", "target_id")
     done = k_records(s, d, (1,)).where("K IN (3, 5) AND parse_success").select("seed", "K", "target_id")
@@ -131,6 +136,8 @@ def queries() -> dict:
         "stable_seed": lambda s, d: rows(s, d).select("target_id", history.stable_seed(SEED, F.col("target_id")).cast("string").alias("seed")),
         "history_sample": _history,
         "history_nested": lambda s, d: history.history_prefixes(_history(s, d), SIZES).select("target_id", "rater_id", "K", F.array_join("history_ids", "|").alias("history_ids")),
+        # Histories as delivered, whose rows the ratings may lack or give to another spelling of the rater: counts that aren't 0.
+        "history_violations_delivered": lambda s, d: history.history_violations(_delivered(s, d), rows(s, d)),
         "history_violations": lambda s, d: history.history_violations(_history(s, d), rows(s, d)),
         "fit_history": _fit,
         "prediction_prompts": _prompts,
@@ -210,6 +217,10 @@ def oracle_sql() -> dict[str, str]:
         "stable_seed": f"WITH {_ROWS} SELECT target_id, CAST(CAST('0x' || substr({_DRAW}, 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM r",
         "history_sample": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT * FROM hist",
         "history_nested": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT target_id, rater_id, CAST(K AS INTEGER) AS K, string_agg(history_id, '|' ORDER BY rn) AS history_ids FROM hist CROSS JOIN (SELECT unnest({list(SIZES)}) AS K) WHERE rn <= K GROUP BY target_id, rater_id, K",
+        "history_violations_delivered": f"""WITH {_ROWS}, h AS (SELECT target_id, rater_id, unnest(history_ids) AS history_id FROM phase1_predictions)
+            SELECT 'target_in_history' AS "check", count(*) FILTER (WHERE target_id = history_id) AS violations FROM h
+            UNION ALL SELECT 'other_rater', count(*) FILTER (WHERE h.rater_id IS DISTINCT FROM r.rater_id) FROM h LEFT JOIN r ON r.target_id = h.history_id
+            UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM h GROUP BY target_id, history_id HAVING count(*) > 1)""",
         "history_violations": "SELECT unnest(['target_in_history', 'other_rater', 'repeated']) AS \"check\", CAST(0 AS BIGINT) AS violations",
         "fit_history": f"""WITH {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(HISTORY, 'own')},
             len0 AS (SELECT hist.target_id, rn, length({block}) AS n, length(coalesce(o.Text, '')) + 500 AS fixed FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id JOIN tx o ON o.target_id = hist.target_id),

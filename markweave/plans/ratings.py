@@ -86,6 +86,8 @@ def queries() -> dict:
         "inference_input": lambda s, d: reshape.inference_input(raw(s, d)),
         "conversion_summary": lambda s, d: reshape.conversion_summary(w(s, d), raw(s, d)),
         "conversion_violations": lambda s, d: reshape.conversion_violations(raw(s, d), reshape.create_wide(raw(s, d))),
+        # The delivered table itself, with its repeated rows, spellings and gaps, held against the raw form: counts that aren't 0.
+        "conversion_violations_delivered": lambda s, d: reshape.conversion_violations(raw(s, d), w(s, d)),
         "rater_position_counts": lambda s, d: reshape.position_counts(w(s, d)),
         "dataset_summary": lambda s, d: descriptive.dataset_summary(w(s, d)),
         "rater_sample_counts": lambda s, d: descriptive.rater_sample_counts(w(s, d)),
@@ -194,6 +196,14 @@ def oracle_sql() -> dict[str, str]:
         "inference_input": f"WITH {_RAW} SELECT text_id_kaggle AS inference_id, Filename, {', '.join(f'{s}_{p}' for p in POSITIONS for s in SCORES)} FROM raw",
         "conversion_summary": f"WITH {_RAW} {metric(conversion, 'BIGINT', 'rater_essay_wide')} UNION ALL {metric(conversion_more, 'BIGINT', '')}",
         "conversion_violations": "SELECT unnest(['row_count', 'unique_key', 'positions', 'filename_position_rows', 'values']) AS \"check\", CAST(0 AS BIGINT) AS violations",
+        "conversion_violations_delivered": f"""WITH {_RAW}, want AS ({' UNION ALL '.join(f"SELECT source_row_id, {p} AS rater_position, Filename, text_id_kaggle, Text, {_TRIM.format(f'Rater_{p}')} AS rater_id, {', '.join(f'{x}_{p} AS {x}' for x in SIDE_SCORES)} FROM raw" for p in POSITIONS)})
+            SELECT 'row_count' AS "check", abs(2 * (SELECT count(*) FROM raw) - (SELECT count(*) FROM rater_essay_wide)) AS violations
+            UNION ALL SELECT 'unique_key', count(*) FROM (SELECT 1 FROM rater_essay_wide GROUP BY source_row_id, rater_position HAVING count(*) > 1)
+            UNION ALL SELECT 'positions', count(*) FROM rater_essay_wide WHERE rater_position IS NULL OR rater_position NOT IN (1, 2)
+            UNION ALL SELECT 'filename_position_rows', count(*) FROM (SELECT Filename, rater_position, count(*) AS n FROM want GROUP BY 1, 2) a FULL JOIN (SELECT Filename, rater_position, count(*) AS n FROM rater_essay_wide GROUP BY 1, 2) b
+                ON a.Filename IS NOT DISTINCT FROM b.Filename AND a.rater_position = b.rater_position WHERE a.n IS DISTINCT FROM b.n
+            UNION ALL SELECT 'values', count(*) FROM want a FULL JOIN rater_essay_wide b ON a.source_row_id = b.source_row_id AND a.rater_position = b.rater_position
+                WHERE a.rater_position IS NULL OR b.rater_position IS NULL OR {' OR '.join(f'a.{c} IS DISTINCT FROM b.{c}' for c in ('Filename', 'text_id_kaggle', 'Text', 'rater_id', *SIDE_SCORES))}""",
         "rater_position_counts": "SELECT rater_id, count(*) AS sample_count, " + ", ".join(f"count(*) FILTER (WHERE rater_position = {p}) AS position_{p}_count" for p in POSITIONS) + " FROM rater_essay_wide GROUP BY rater_id",
         "dataset_summary": f"WITH c AS ({counts}) {metric(facts, 'VARCHAR', 'rater_essay_wide')} UNION ALL {metric(more_facts, 'VARCHAR', 'c')}",
         "rater_sample_counts": counts,

@@ -73,7 +73,7 @@ def run_analysis(spark: SparkSession, source: str, output: str) -> dict[str, Dat
 def run_conversion(spark: SparkSession, source: str, output: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw scores to the wide form, checked before anything is written, with two summaries."""
     ship_library(spark)
-    raw = files.load_raw_scores(spark, files.resolve_input_path(source))
+    raw = files.load_raw_scores(spark, files.resolve_input_path(spark, source))
     wide = reshape.create_wide(raw)
     broken = {r.check: r.violations for r in reshape.conversion_violations(raw, wide).collect() if r.violations}
     if broken:

@@ -20,15 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared checkpoint folder the cluster names; set a local one only where none is set (tests)."""
+    """Keep the shared checkpoint folder the cluster names; set one of our own only where none is and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="markweave-checkpoint-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)
 
 
+def release_checkpoints(spark: SparkSession) -> None:
+    """Delete what this application has written to its own part of the checkpoint folder; for the end of a run, when all results are stored.
+
+    Sessions that are built here may set ``spark.cleaner.referenceTracking.cleanCheckpoints`` as well, which deletes earlier.
+    """
+    sc = spark.sparkContext
+    place = sc._jsc.sc().getCheckpointDir()
+    if place.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(place.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back, so that no later failure recomputes it."""
     ensure_checkpoint_dir(df.sparkSession)

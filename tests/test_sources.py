@@ -18,7 +18,7 @@ def write_raw(path, sep=",", bom=False, rows=2):
 @pytest.mark.parametrize(("sep", "bom"), [(",", False), (";", True), ("\t", False), ("|", True)])
 def test_raw_csv(spark, tmp_path, sep, bom):
     p = write_raw(tmp_path / "a.csv", sep, bom, 3)
-    assert files.detect_csv_format(p) == ("utf-8-sig" if bom else "utf-8", sep)
+    assert files.detect_csv_format(spark, p) == ("utf-8-sig" if bom else "utf-8", sep)
     got = files.load_raw_scores(spark, p).orderBy("source_row_id").collect()
     assert [r.source_row_id for r in got] == [0, 1, 2] and [r.Filename for r in got] == ["e0", "e1", "e2"]
     assert got[0].Overall_1 is None and got[1].Overall_1 == 3 and "\nline two" in got[0].Text and '"quoted"' in got[0].Text
@@ -26,22 +26,32 @@ def test_raw_csv(spark, tmp_path, sep, bom):
 
 def test_paths(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        files.resolve_input_path(tmp_path / "none.csv")
+        files.resolve_input_path(spark, tmp_path / "none.csv")
     with pytest.raises(FileNotFoundError):
-        files.resolve_input_path(folder=tmp_path)
+        files.resolve_input_path(spark, folder=tmp_path)
     a = write_raw(tmp_path / "a.csv")
-    assert files.resolve_input_path(folder=tmp_path) == a
+    assert files.resolve_input_path(spark, folder=tmp_path) == str(a)
     write_raw(tmp_path / "b.csv")
     with pytest.raises(ValueError):
-        files.resolve_input_path(folder=tmp_path)
+        files.resolve_input_path(spark, folder=tmp_path)
     (tmp_path / "c.csv").write_bytes(b"\xff\xfe\x00bad,\n" * 10)
     with pytest.raises(ValueError):
-        files.detect_csv_format(tmp_path / "c.csv")
+        files.detect_csv_format(spark, tmp_path / "c.csv")
     (tmp_path / "c.csv").write_text("Filename,Text\na,b\n")
     with pytest.raises(ValueError, match="Rater_1"):
         files.load_raw_scores(spark, tmp_path / "c.csv")
 
 
+def test_sniffing(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"a;b;c;d",e,f\n1;2;3;4;5;6\n')
+    assert files.detect_csv_format(spark, tmp_path / "q.csv").delimiter == ","  # those within quotation marks don't count
+    (tmp_path / "long.csv").write_bytes(("x,y\n" + "é" * files.SNIFFED).encode())  # the sniffed part ends within a letter
+    assert files.detect_csv_format(spark, tmp_path / "long.csv") == ("utf-8", ",")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert files.detect_csv_format(spark, tmp_path / "empty.csv") == ("utf-8", ",")
+    assert files.find_csv_candidates(spark, tmp_path / "nowhere") == []
+
+
 def test_row_numbers_over_partitions(spark):
     df = spark.range(0, 100, 1, 7).select(F.col("id").alias("x"))
     assert all(r.source_row_id == r.x for r in files.with_row_numbers(df).collect())
