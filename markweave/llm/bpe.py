@@ -11,6 +11,7 @@ token's string in a text is ordinary text; ids are never cut, however long the t
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 from collections.abc import Iterator
@@ -30,6 +31,9 @@ MEMO_WORDS, MEMO_IDS = 400_000, 3_000_000
 #: Rows and letters that are encoded at once; a longer text is encoded alone, and whole.
 PART_ROWS, PART_LETTERS = 2_000, 2_000_000
 
+#: A vocabulary's file is broadcast up to this size.
+VOCABULARY_BYTES = 1 << 26
+
 _NO_RANK = 1 << 60
 _WORDS = regex.compile(WORD_PATTERN)
 #: A blank beside other white space: there the quick cut at single blanks would not be the pattern's own.
@@ -39,7 +43,11 @@ _QUICK_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+        return read_ranks(f.read())
+
+
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
 class PairTree:
@@ -168,10 +176,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load_ranks(path))
-    return _ENCODERS[path]
+def _encoder(data: bytes) -> Encoder:
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(read_ranks(data))
+    return _ENCODERS[key]
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -193,9 +202,13 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "b
     Repeated rows stay repeated; other columns of ``df`` are not read.
     """
     path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    if os.path.getsize(path) > VOCABULARY_BYTES:
+        raise ValueError(f"{path} is larger than {VOCABULARY_BYTES} bytes")
+    with open(path, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())  # executors need no such folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = _encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _parts(texts):

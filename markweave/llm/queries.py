@@ -72,8 +72,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.group_of_rows(splits.tied_groups(table(spark, d, "rater_essay_wide")))
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    wide = table(spark, d, "rater_essay_wide").select("source_row_id", "Filename", "rater_id", "rater_position")
+    return splits.label_rows(wide, splits.assign_splits(splits.tied_groups(wide)))
+
+
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return splits.assign_splits(splits.tied_groups(table(spark, d, "rater_essay_wide")))
+    """The label of every row."""
+    return _labelled(spark, d)
+
+
+def p4_violations(spark: SparkSession, d: str) -> DataFrame:
+    """What a labelling must keep: every row labelled, no tied rows parted, shares within the largest group."""
+    return splits.split_violations(_labelled(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +117,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return residue.template_residue(table(spark, d, "documents"))
 
 
-_ALL = (p1_found, p1_raters, p1_consensus, p1_consensus_cohesion, p2_found, p2_report, p3_found, p3_levels, p3_quality, p4_found, p4_splits, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_kinds)
+_ALL = (p1_found, p1_raters, p1_consensus, p1_consensus_cohesion, p2_found, p2_report, p3_found, p3_levels, p3_quality, p4_found, p4_splits, p4_violations, p5_found, p6_ids, p7_found, p7_report, p8_found, p8_kinds)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -64,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
                        len(list_filter(x, lambda w, i: NOT regexp_matches(w, '^[.!?。！？]') AND (i = len(x) OR regexp_matches(x[i + 1], '^[.!?。！？]')))) AS sentences
                 FROM tokens)
             SELECT DISTINCT source_row_id FROM counts WHERE words > 24 * greatest(sentences, 1) AND letters > 6.5 * words""",
+        "p4_violations": "SELECT 'rows' AS \"check\", count(*) AS value FROM rater_essay_wide UNION ALL SELECT unnest(['unlabelled', 'off_balance', 'parted_rows', 'parted_names', 'parted_raters']), 0",
         "p4_found": rf"""
             WITH RECURSIVE keyed AS (
                 SELECT DISTINCT source_row_id, {NAME} AS name, {RATER} AS rater
