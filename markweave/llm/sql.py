@@ -23,9 +23,9 @@ def _rated(score: str) -> str:
         agreed AS (SELECT i, sum(u) AS u, sum(k) AS k FROM met GROUP BY 1),
         a0 AS (SELECT agreed.i, u / k AS agreement, greatest(-0.98, least(0.98, sign(u) * sqrt(greatest(coalesce(CASE WHEN down > 0 THEN up / down END, 0), 0)))) AS a FROM agreed LEFT JOIN triplets ON triplets.i = agreed.i),
         s1 AS (SELECT pairs.i, sum(v * a) AS up, sum(a * a) AS down FROM pairs JOIN a0 ON a0.i = pairs.j GROUP BY 1),
-        a1 AS (SELECT s1.i, CASE WHEN down > 1e-9 THEN greatest(-0.98, least(0.98, up / down)) ELSE a0.a END AS a FROM s1 JOIN a0 ON a0.i = s1.i),
+        a1 AS (SELECT s1.i, CASE WHEN down > 1e-3 THEN greatest(-0.98, least(0.98, up / down)) ELSE a0.a END AS a FROM s1 JOIN a0 ON a0.i = s1.i),
         s2 AS (SELECT pairs.i, sum(v * a) AS up, sum(a * a) AS down FROM pairs JOIN a1 ON a1.i = pairs.j GROUP BY 1),
-        a2 AS (SELECT s2.i, 0.5 * a1.a + 0.5 * CASE WHEN down > 1e-9 THEN greatest(-0.98, least(0.98, up / down)) ELSE a1.a END AS a FROM s2 JOIN a1 ON a1.i = s2.i),
+        a2 AS (SELECT s2.i, 0.5 * a1.a + 0.5 * CASE WHEN down > 1e-3 THEN greatest(-0.98, least(0.98, up / down)) ELSE a1.a END AS a FROM s2 JOIN a1 ON a1.i = s2.i),
         raters AS (
             SELECT norms.rater_no, n_ratings, mean_score, sd_score, agreement, CASE WHEN sd_score > 1e-9 THEN a2.a ELSE 0 END AS accuracy
             FROM norms LEFT JOIN a0 ON a0.i = norms.rater_no LEFT JOIN a2 ON a2.i = norms.rater_no)"""
