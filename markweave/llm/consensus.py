@@ -81,7 +81,7 @@ def met_again(z: DataFrame, a: DataFrame, keep: float) -> DataFrame:
     za = z.join(a, "rater_no")
     items = za.groupBy("item").agg(F.sum(F.col("a") * F.col("z")).alias("t"), F.sum(F.col("a") * F.col("a")).alias("q"))
     sums = za.join(items, "item").groupBy("rater_no", "a").agg(F.sum(F.col("z") * (F.col("t") - F.col("a") * F.col("z"))).alias("up"), F.sum(F.col("q") - F.col("a") * F.col("a")).alias("down"))
-    new = F.coalesce(_clipped(F.try_divide("up", F.when(F.col("down") > 1e-3, F.col("down")))), F.col("a"))
+    new = F.when(F.col("down") > 1e-3, _clipped(F.try_divide("up", "down"))).otherwise(F.col("a"))
     return sums.select("rater_no", (F.lit(1.0 - keep) * new + F.lit(keep) * F.col("a")).alias("a"))
 
 
