@@ -6,6 +6,7 @@ built once per task and fed micro-batches, and keys travel with their rows, so n
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -46,11 +47,12 @@ def generate_answers(prompts: DataFrame, make: Callable[[], Generator], paramete
 _ANSWER = "target_id string, raw_model_output string, raw_model_output_attempts array<string>, parse_attempts int, predicted_overall int, reasoning string, parse_error string"
 
 
-def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict, max_retries: int = 1, max_model_len: int | None = None, output_budget: int = 0, batch_size: int = 16, tokens: Column | None = None) -> DataFrame:
+def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict, max_retries: int = 1, max_model_len: int | None = None, output_budget: int = 0, batch_size: int = 16, tokens: Column | None = None, timed: bool = False) -> DataFrame:
     """Predictions with at most ``max_retries`` further rounds for answers that don't parse; prompts beyond the context aren't sent.
 
     Micro-batches of ``batch_size`` prompts go to the generator, and what has to be asked again goes as one batch, too. ``tokens``
-    counts a prompt's tokens (by default a token for every four letters). Adds ``raw_model_output``,
+    counts a prompt's tokens (by default a token for every four letters); with ``timed``, each answer has its share of its batch's
+    seconds in ``inference_time_seconds``. Adds ``raw_model_output``,
     ``raw_model_output_attempts``, ``parse_attempts``, ``predicted_overall``, ``reasoning``, ``parse_error``.
     """
 
@@ -72,19 +74,25 @@ def predict(prompts: DataFrame, make: Callable[[], Generator], parameters: dict,
         for frame in frames:
             for k in range(0, len(frame), batch_size):
                 part = frame.iloc[k : k + batch_size]
+                began = time.perf_counter()
                 attempts, read = answered(generator, part["prompt"].tolist())
-                yield pd.DataFrame({
+                seconds = (time.perf_counter() - began) / max(1, len(part))
+                out = pd.DataFrame({
                     "target_id": part["target_id"].tolist(), "raw_model_output": [x[-1] for x in attempts], "raw_model_output_attempts": attempts, "parse_attempts": [len(x) for x in attempts],
                     "predicted_overall": pd.array([r.get("predicted_overall") for r in read], dtype="Int32"), "reasoning": [r.get("reasoning") for r in read], "parse_error": [r["error"] for r in read],
                 })
+                yield out.assign(inference_time_seconds=seconds) if timed else out
 
+    schema = _ANSWER + ", inference_time_seconds double" * timed
     if max_model_len is None:
-        return prompts.select("target_id", "prompt").mapInPandas(run, _ANSWER)
+        return prompts.select("target_id", "prompt").mapInPandas(run, schema)
     size = token_estimate(F.length("prompt"), 4.0) if tokens is None else tokens
     fits = F.coalesce(size + output_budget <= max_model_len, F.lit(False))
     none = {"raw_model_output": "string", "raw_model_output_attempts": "array<string>", "parse_attempts": "int", "predicted_overall": "int", "reasoning": "string"}
     kept_back = prompts.where(~fits).select("target_id", *((F.lit(0) if n == "parse_attempts" else F.lit(None).cast(t)).alias(n) for n, t in none.items()), F.lit("context overflow").alias("parse_error"))
-    return prompts.where(fits).select("target_id", "prompt").mapInPandas(run, _ANSWER).unionByName(kept_back)
+    if timed:
+        kept_back = kept_back.withColumn("inference_time_seconds", F.lit(0.0))
+    return prompts.where(fits).select("target_id", "prompt").mapInPandas(run, schema).unionByName(kept_back)
 
 
 def reconstruct_scores(prompts: DataFrame, make: Callable[[], Generator], parameters: dict) -> DataFrame:
