@@ -15,9 +15,16 @@ def write_csv(df: DataFrame, folder: str | Path) -> None:
     df.write.mode("overwrite").csv(str(folder), header=True, quote='"', escape='"')
 
 
+#: Rows of a result table that still go through the driver into one file.
+SINGLE_FILE_ROWS = 1_000_000
+
+
 def save_table(df: DataFrame, path: str | Path) -> Path:
-    """A result table (small by nature: aggregated) as one CSV file with a byte-order mark."""
-    frame = df.toPandas()
+    """A result table as one CSV file with a byte-order mark; a larger one (a row for each of very many raters) as part files in a folder."""
+    frame = df.limit(SINGLE_FILE_ROWS + 1).toPandas()
+    if len(frame) > SINGLE_FILE_ROWS:
+        write_csv(df, Path(path).with_suffix(""))
+        return Path(path).with_suffix("")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     frame.to_csv(path, index=False, encoding="utf-8-sig")
     return Path(path)
@@ -61,26 +68,9 @@ def _markdown(df: DataFrame, rows: int) -> str:
     return "\n".join(lines)
 
 
-def write_report(title: str, sections: list[tuple[str, DataFrame]], path: str | Path, rows: int = 40) -> Path:
-    """A Markdown report of result tables."""
-    text = f"# {title}\n\n" + "\n\n".join(f"## {name}\n\n{_markdown(df, rows)}" for name, df in sections) + "\n"
+def write_report(title: str, sections: list[tuple[str, DataFrame | str]], path: str | Path, rows: int = 40) -> Path:
+    """A Markdown report of result tables (their first ``rows`` rows) and sentences."""
+    text = f"# {title}\n\n" + "\n\n".join(f"## {name}\n\n{x if isinstance(x, str) else _markdown(x, rows)}" for name, x in sections) + "\n"
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     Path(path).write_text(text, encoding="utf-8")
     return Path(path)
-
-
-def save_figure(df: DataFrame, x: str, y: str, path: str | Path) -> Path | None:
-    """A bar figure where matplotlib is installed; else nothing, the figure's data is the table."""
-    try:
-        import matplotlib
-
-        matplotlib.use("Agg")
-        import matplotlib.pyplot as plt
-    except ImportError:
-        return None
-    frame = df.select(x, y).toPandas()
-    fig, ax = plt.subplots()
-    ax.bar(frame[x].astype(str), frame[y])
-    fig.savefig(path)
-    plt.close(fig)
-    return Path(path)

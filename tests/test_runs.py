@@ -12,13 +12,21 @@ def test_analysis(spark, sf, tmp_path):
     tables = runs.run_analysis(spark, f"{sf}/rater_essay_wide.parquet", str(tmp_path))
     assert len(tables) == 15 and len(list((tmp_path / "tables").glob("*.csv"))) >= 14
     report = (tmp_path / "report.md").read_text()
-    assert "total_sample_count | 203" in report and "Strongest predictor" in report
+    assert "total_sample_count | 203" in report and "Strongest predictor" in report and "Of 203 samples" in report
+    scalars = json.loads((tmp_path / "report_scalars.json").read_text())
+    assert scalars["total_sample_count"] == "203" and scalars["lowest_overall_mean"] <= scalars["overall_mean"] <= scalars["highest_overall_mean"] and scalars["strongest_predictor"]
+    import xml.etree.ElementTree as ET
+
+    made = list((tmp_path / "figures").glob("*.svg"))
+    assert len(made) == 12 and all(len(ET.parse(p).getroot()) > 5 for p in made)
 
 
 def test_conversion(spark, tmp_path):
     wide, summary, counts = runs.run_conversion(spark, str(write_raw(tmp_path / "raw.csv", rows=4)), str(tmp_path / "out"))
     assert wide.count() == 8 and {r.metric: r.value for r in summary.collect()}["raw_row_count"] == 4
     assert spark.read.parquet(str(tmp_path / "out/rater_essay_wide.parquet")).count() == 8
+    rows = spark.read.csv(str(tmp_path / "out/rater_essay_wide_csv"), header=True, multiLine=True, quote='"', escape='"').collect()
+    assert [(r.source_row_id, r.rater_position) for r in rows] == [(str(k), str(p)) for k in range(4) for p in (1, 2)]
     assert [r.rater_id for r in counts.collect()] == ["rater_1", "rater_2"]
 
 
@@ -81,3 +89,27 @@ def test_context_table_uses_every_reasoning(spark, sf):
     total = lambda **x: runs.context_table(wide, (1,), 7, {"verification": 64}, **x).agg(F.sum("prompt_tokens"), F.count("*")).first()
     plain, full = total(), total(references=E.references(spark, sf))
     assert full[1] == plain[1] and full[0] > plain[0] + 5 * plain[1]
+
+
+def test_commands(spark, sf, tmp_path, monkeypatch):
+    raw = write_raw(tmp_path / "raw.csv", rows=3)
+    monkeypatch.setattr(runs, "release_checkpoints", lambda spark: None)
+    runs.main(["inference-input", "--input", str(raw), "--output", str(tmp_path / "a")])
+    assert spark.read.csv(str(tmp_path / "a/inference_csv"), header=True).count() == 3
+    runs.main(["context", "--input", f"{sf}/rater_essay_wide.parquet", "--output", str(tmp_path / "b"), "--sizes", "1", "--max-lengths", "512,4096"])
+    assert (tmp_path / "b/context_fit.csv").read_text("utf-8-sig").count("\n") == 7
+    with pytest.raises(SystemExit):
+        runs.main(["pilot", "--input", "x", "--output", "y"])
+
+
+def test_figures_of_empty_tables(tmp_path):
+    import pandas as pd
+
+    from markweave.sources import figures
+
+    empty = pd.DataFrame({"r": [], "a": [], "b": []})
+    assert figures.bars(empty, "r", ["a", "b"], "t", "l", tmp_path / "a.svg").exists()
+    assert figures.heat_map(empty, "r", ["a"], "t", "l", 0, 1, tmp_path / "b.svg").exists()
+    assert figures.bubbles(empty, "a", "b", "r", "t", 1, 5, tmp_path / "c.svg").exists()
+    gaps = pd.DataFrame({"r": ["<x>", "y"], "a": [None, -1.5]})
+    assert "&lt;x&gt;" in figures.bars(gaps, "r", ["a"], "t", "l", tmp_path / "d.svg").read_text()
