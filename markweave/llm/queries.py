@@ -46,13 +46,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping rows counted per split, and per source: whether the other row stands under the same name."""
-    names = table(spark, d, "rater_essay_wide").groupBy("source_row_id").agg(F.min(essay_name(F.col("Filename"))).alias("name"))
-    pairs = _overlaps(spark, d).select("eval_row", "train_row").distinct()
-    named = pairs.join(names.select(F.col("source_row_id").alias("eval_row"), F.col("name").alias("eval_name")), "eval_row", "left")
-    named = named.join(names.select(F.col("source_row_id").alias("train_row"), F.col("name").alias("train_name")), "train_row", "left")
-    source = F.when(F.col("eval_name") == F.col("train_name"), "same_name").when(F.col("eval_name").isNull() | F.col("train_name").isNull(), "unnamed").otherwise("other_name")
-    sides = named.select(F.explode(F.array(F.struct(F.lit("evaluation").alias("split"), F.col("eval_row").alias("row")), F.struct(F.lit("training").alias("split"), F.col("train_row").alias("row")))).alias("x"), source.alias("source"), F.struct("eval_row", "train_row").alias("pair"))
-    return sides.groupBy("x.split", "source").agg(F.countDistinct("x.row").alias("rows"), F.countDistinct("pair").alias("pairs"))
+    wide = table(spark, d, "rater_essay_wide")
+    names = wide.groupBy(F.col("source_row_id").alias("row")).agg(F.min(essay_name(F.col("Filename"))).alias("name"))
+    return overlap.overlap_report(*overlap.linked_classes(wide, table(spark, d, "phase1_predictions")), names)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
