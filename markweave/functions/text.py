@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,34 +50,61 @@ def token_list(text: str | None) -> list[str]:
     return _TOKENS.findall((text or "").lower())
 
 
+def _flat(lists: list[list[str]], ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers of all lists side by side, and the list of each."""
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for words in lists for w in words), dtype=np.int64)
+    return flat, np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _common(left: np.ndarray, right: np.ndarray, grams: int, rows: int) -> np.ndarray:
+    """For each row, how many grams of one side the other has too, each as often as both have it. Keys are row * grams + gram."""
+    (a, n), (b, m) = np.unique(left, return_counts=True), np.unique(right, return_counts=True)
+    both, at, of = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return np.bincount(both // grams, weights=np.minimum(n[at], m[of]), minlength=rows)
+
+
+def similarities(hypotheses: list[list[str]], references: list[list[str]], orders: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence BLEU and unigram F1 of every pair of token lists, for the whole batch at once.
+
+    BLEU is the geometric mean over orders of (common + 1) / (n-grams + 1), less what a hypothesis that isn't longer lacks in
+    length; both are 0 where either side is empty, F1 also where nothing is common.
+    """
+    rows, ids = len(hypotheses), {}
+    sides = [_flat(lists, ids) for lists in (hypotheses, references)]
+    size = [np.bincount(row, minlength=rows) for _, row in sides]
+    gram = [tokens for tokens, _ in sides]
+    logs, first = np.zeros(rows), np.zeros(rows)
+    for n in range(1, orders + 1):
+        if n > 1:
+            # A gram of this order is one of the order before and the token after it; both sides number them alike.
+            longer = [g[: max(0, len(g) - 1)] * len(ids) + tokens[n - 1 :][: max(0, len(g) - 1)] for g, (tokens, _) in zip(gram, sides)]
+            number = np.unique(np.concatenate(longer), return_inverse=True)[1]
+            gram = [number[: len(longer[0])], number[len(longer[0]) :]]
+        grams = 1 + max((int(g.max()) for g in gram if len(g)), default=0)
+        whole = [row[: len(g)] == row[n - 1 :][: len(g)] for g, (_, row) in zip(gram, sides)]
+        keys = [(row[: len(g)] * grams + g)[w] for g, w, (_, row) in zip(gram, whole, sides)]
+        common = _common(*keys, grams, rows)
+        logs += np.log((common + 1) / (np.maximum(size[0] - n + 1, 0) + 1))
+        first = common if n == 1 else first
+    said = (size[0] > 0) & (size[1] > 0)
+    lacking = np.where(said & (size[0] <= size[1]), 1 - size[1] / np.maximum(size[0], 1), 0.0)
+    return np.where(said, np.exp(logs / orders + lacking), 0.0), 2 * first / np.maximum(size[0] + size[1], 1)
+
+
 def rouge1(hypothesis: list[str], reference: list[str]) -> float:
-    """Unigram F1; 0 without overlap."""
-    both = sum((Counter(hypothesis) & Counter(reference)).values())
-    return 2 * both / (len(hypothesis) + len(reference)) if both else 0.0
+    return float(similarities([hypothesis], [reference])[1][0])
 
 
 def bleu(hypothesis: list[str], reference: list[str], orders: int = 4) -> float:
-    """Sentence BLEU with add-one smoothing of every order; only a longer hypothesis escapes the brevity term. 0 where either is empty."""
-    if not hypothesis or not reference:
-        return 0.0
-    logs = 0.0
-    for n in range(1, orders + 1):
-        own = Counter(zip(*(hypothesis[k:] for k in range(n))))
-        other = Counter(zip(*(reference[k:] for k in range(n))))
-        logs += math.log((sum((own & other).values()) + 1) / (sum(own.values()) + 1))
-    brevity = 1.0 if len(hypothesis) > len(reference) else math.exp(1 - len(reference) / len(hypothesis))
-    return brevity * math.exp(logs / orders)
+    return float(similarities([hypothesis], [reference], orders)[0][0])
 
 
 _SIMILARITY = T.StructType([T.StructField("bleu", T.DoubleType()), T.StructField("rouge1_f1", T.DoubleType())])
 
 
 def _similarities(hypotheses: pd.Series, references: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, r in zip(hypotheses, references):
-        a, b = token_list(h), token_list(r)
-        rows.append((bleu(a, b), rouge1(a, b)))
-    return pd.DataFrame(rows, columns=["bleu", "rouge1_f1"], dtype=float)
+    scores = similarities([token_list(h) for h in hypotheses], [token_list(r) for r in references])
+    return pd.DataFrame(dict(zip(("bleu", "rouge1_f1"), scores)), dtype=float)
 
 
 def similarity(hypothesis: Column | str, reference: Column | str) -> Column:

@@ -59,19 +59,24 @@ def ranked_in_rater(rows: DataFrame, seed: int) -> DataFrame:
     return keyed.withColumn("inside", inside).join(starts, ["rater_id", "bucket"]).withColumn("place", F.col("start") + F.col("inside") - 1).drop("bucket", "start", "inside", "draw")
 
 
+def _drawn(seed: int, size: int, others: Column) -> Column:
+    """``size`` different numbers below ``others``, each an even draw from those not yet drawn; a shorter list is its beginning."""
+    pick = lambda k: F.conv(F.substring(draw(seed, "target_id", k.cast("string")), 1, 12), 16, 10).cast("bigint") % (others - k + 1)
+    free = lambda taken, r: F.aggregate(F.array_sort(taken), r, lambda x, c: F.when(c <= x, x + 1).otherwise(x))  # noqa: E731  # the r-th number that isn't taken
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.array().cast("array<bigint>"), lambda taken, k: F.concat(taken, F.array(free(taken, pick(k)))))
+
+
 def sample_histories(rows: DataFrame, size: int, seed: int, targets: DataFrame | None = None) -> DataFrame:
     """(``target_id``, ``rater_id``, ``rn``, ``history_id``): ``size`` other rows of the target's rater, by seed.
 
-    The rater's rows stand on a ring in hash order; a target takes the rows from a hashed start on, skipping itself. So
-    histories of different sizes are nested, no pair of rows is written out that isn't in the result, and raters with too
-    few rows have no history.
+    The rater's rows are numbered in hash order, and every target draws numbers of its own without repetition, counted from
+    itself on. So draws of different targets are independent, those of different sizes are nested, no pair of rows is written
+    out that isn't in the result, and targets of raters with too few rows have no history.
     """
     ring = ranked_in_rater(rows.select("target_id", "rater_id"), seed)
     own = ring if targets is None else ring.join(targets.select("target_id"), "target_id", "left_semi")
-    start = F.conv(F.substring(draw(seed, "target_id", F.lit("start")), 1, 8), 16, 10).cast("bigint")
-    steps = own.where(F.col("size") - 1 >= size).withColumn("start", start).select("target_id", "rater_id", "place", "size", "start", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rn"))
-    at = (F.col("place") + 1 + (F.col("start") + F.col("rn") - 1) % (F.col("size") - 1)) % F.col("size")
-    wanted = steps.select("target_id", "rater_id", "rn", at.alias("place"))
+    drawn = own.where(F.col("size") - 1 >= size).select("target_id", "rater_id", "place", "size", F.posexplode(_drawn(seed, size, F.col("size") - 1)).alias("at", "number"))
+    wanted = drawn.select("target_id", "rater_id", (F.col("at") + 1).alias("rn"), ((F.col("place") + 1 + F.col("number")) % F.col("size")).alias("place"))
     return wanted.join(ring.select("rater_id", "place", F.col("target_id").alias("history_id")), ["rater_id", "place"]).select("target_id", "rater_id", "rn", "history_id")
 
 

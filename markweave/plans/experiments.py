@@ -173,13 +173,15 @@ _ROWS = f"""base AS (SELECT CAST(source_row_id AS VARCHAR) || ':' || rater_posit
     tx AS (SELECT target_id, min(Text) AS Text FROM base GROUP BY target_id)"""
 _DRAW = f"sha256('{SEED}:' || target_id)"
 _CHOSEN = f"chosen AS (SELECT * FROM r WHERE rater_id IN (SELECT rater_id FROM r GROUP BY rater_id HAVING count(*) - 1 >= {HISTORY}) ORDER BY {_DRAW}, target_id LIMIT {{}})"
-_RING = f"""ring AS (SELECT target_id, rater_id, row_number() OVER (PARTITION BY rater_id ORDER BY {_DRAW}, target_id) - 1 AS place, count(*) OVER (PARTITION BY rater_id) AS size,
-        CAST('0x' || substr(sha256('{SEED}:' || target_id || ':start'), 1, 8) AS BIGINT) AS start FROM r)"""
+_RING = f"""ring AS (SELECT target_id, rater_id, row_number() OVER (PARTITION BY rater_id ORDER BY {_DRAW}, target_id) - 1 AS place, count(*) OVER (PARTITION BY rater_id) AS size FROM r)"""
 
 
 def _hist(size: int, of: str = "ring") -> str:
-    return f"""hist AS (SELECT a.target_id, a.rater_id, CAST(rn AS INTEGER) AS rn, b.target_id AS history_id FROM {of} a CROSS JOIN (SELECT unnest(range(1, {size + 1})) AS rn) n
-        JOIN ring b ON b.rater_id = a.rater_id AND b.place = (a.place + 1 + (a.start + rn - 1) % (a.size - 1)) % a.size WHERE a.size - 1 >= {size})"""
+    """Draws one after the other, each from the list of the numbers that are left."""
+    return f"""pick AS (SELECT target_id, rater_id, place, size, 0 AS k, CAST([] AS BIGINT[]) AS taken FROM {of} WHERE size - 1 >= {size}
+        UNION ALL SELECT target_id, rater_id, place, size, k + 1, list_append(taken, list_filter(range(size - 1), lambda x: NOT list_contains(taken, x))[1 + CAST('0x' || substr(sha256('{SEED}:' || target_id || ':' || (k + 1)), 1, 12) AS BIGINT) % (size - 1 - k)])
+        FROM pick WHERE k < {size}),
+    hist AS (SELECT a.target_id, a.rater_id, CAST(a.k AS INTEGER) AS rn, b.target_id AS history_id FROM pick a JOIN ring b ON b.rater_id = a.rater_id AND b.place = (a.place + 1 + a.taken[a.k]) % a.size WHERE a.k > 0)"""
 
 
 _LATEST = "latest AS (SELECT target_id, rater_id, gold_overall, predicted_overall, reasoning FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY timestamp DESC, experiment_id DESC, rater_id DESC, gold_overall DESC, predicted_overall DESC NULLS LAST, reasoning DESC NULLS LAST) AS k FROM phase1_predictions) WHERE k = 1)"
@@ -215,18 +217,18 @@ def oracle_sql() -> dict[str, str]:
         "sample_targets": f"WITH {_ROWS}, {_CHOSEN.format(100)} SELECT * FROM chosen",
         "eligible_targets": f"WITH {_ROWS} SELECT rater_id, count(*) AS targets FROM r GROUP BY rater_id HAVING count(*) >= 20 AND count(*) - 1 >= {HISTORY}",
         "stable_seed": f"WITH {_ROWS} SELECT target_id, CAST(CAST('0x' || substr({_DRAW}, 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM r",
-        "history_sample": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT * FROM hist",
-        "history_nested": f"WITH {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT target_id, rater_id, CAST(K AS INTEGER) AS K, string_agg(history_id, '|' ORDER BY rn) AS history_ids FROM hist CROSS JOIN (SELECT unnest({list(SIZES)}) AS K) WHERE rn <= K GROUP BY target_id, rater_id, K",
+        "history_sample": f"WITH RECURSIVE {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT * FROM hist",
+        "history_nested": f"WITH RECURSIVE {_ROWS}, {_RING}, {_hist(HISTORY)} SELECT target_id, rater_id, CAST(K AS INTEGER) AS K, string_agg(history_id, '|' ORDER BY rn) AS history_ids FROM hist CROSS JOIN (SELECT unnest({list(SIZES)}) AS K) WHERE rn <= K GROUP BY target_id, rater_id, K",
         "history_violations_delivered": f"""WITH {_ROWS}, h AS (SELECT target_id, rater_id, unnest(history_ids) AS history_id FROM phase1_predictions)
             SELECT 'target_in_history' AS "check", count(*) FILTER (WHERE target_id = history_id) AS violations FROM h
             UNION ALL SELECT 'other_rater', count(*) FILTER (WHERE h.rater_id IS DISTINCT FROM r.rater_id) FROM h LEFT JOIN r ON r.target_id = h.history_id
             UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM h GROUP BY target_id, history_id HAVING count(*) > 1)""",
         "history_violations": "SELECT unnest(['target_in_history', 'other_rater', 'repeated']) AS \"check\", CAST(0 AS BIGINT) AS violations",
-        "fit_history": f"""WITH {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(HISTORY, 'own')},
+        "fit_history": f"""WITH RECURSIVE {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(HISTORY, 'own')},
             len0 AS (SELECT hist.target_id, rn, length({block}) AS n, length(coalesce(o.Text, '')) + 500 AS fixed FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id JOIN tx o ON o.target_id = hist.target_id),
             est AS (SELECT target_id, rn AS k, CAST(floor((fixed + sum(n) OVER (PARTITION BY target_id ORDER BY rn) + (rn - 1) * 7) / 4.0) AS INTEGER) + 1 AS e FROM len0 UNION ALL SELECT DISTINCT target_id, 0, CAST(floor(fixed / 4.0) AS INTEGER) + 1 FROM len0)
             SELECT target_id, CAST(max(k) AS INTEGER) AS fitting_size, arg_max(e, k) AS prompt_token_estimate FROM est WHERE e <= {BUDGET} GROUP BY target_id""",
-        "prediction_prompts": f"""WITH {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(3, 'own')},
+        "prediction_prompts": f"""WITH RECURSIVE {_ROWS}, {_CHOSEN.format('ALL')}, {_RING}, own AS (SELECT * FROM ring WHERE target_id IN (SELECT target_id FROM chosen)), {_hist(3, 'own')},
             blocks AS (SELECT hist.target_id, string_agg({block}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS b FROM hist JOIN r hr ON hr.target_id = history_id JOIN tx h ON h.target_id = history_id GROUP BY hist.target_id),
             p AS (SELECT target_id, rater_id, {quoted(head)} || b || {quoted(middle)} || coalesce(Text, '') AS prompt FROM chosen JOIN blocks USING (target_id) JOIN tx USING (target_id))
             SELECT target_id, rater_id, length(prompt) AS characters, CAST(floor(length(prompt) / 4.0) AS INTEGER) + 1 AS prompt_token_estimate, sha256(prompt) AS digest FROM p""",

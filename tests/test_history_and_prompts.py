@@ -25,6 +25,26 @@ def test_histories_are_deterministic_nested_and_free_of_the_target(spark):
     assert all(p[t, 3] == p[t, 5][:3] and p[t, 1] == p[t, 5][:1] for t, k in p if k == 5)
 
 
+def test_draws_are_even_and_independent(spark):
+    """Every other row is drawn about equally often, also given what else a target has drawn."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+    schema = StructType([StructField("target_id", StringType()), StructField("rater_id", StringType()), *(StructField(c, DoubleType()) for c in SCORES)])
+    n = 400
+    df = spark.createDataFrame([(f"{k}:1", "one", *[3.0] * len(SCORES)) for k in range(n)], schema)
+    got = history.sample_histories(df, 3, 5).collect()
+    lists = {}
+    for r in sorted(got, key=lambda r: r.rn):
+        lists.setdefault(r.target_id, []).append(r.history_id)
+    assert len(lists) == n and all(len(set(x)) == 3 and t not in x for t, x in lists.items())
+    times = {}
+    for x in lists.values():
+        for y in x:
+            times[y] = times.get(y, 0) + 1
+    assert len(times) > 0.9 * n and max(times.values()) < 15
+    assert len({tuple(sorted(x)) for x in lists.values()}) == n  # no two targets share a history, as windows of one order would nearly
+
+
 def test_target_samples(spark):
     df = rows(spark)
     a = history.sample_targets(df, 2, 7, 5).collect()

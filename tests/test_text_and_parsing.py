@@ -19,6 +19,30 @@ def test_similarity():
     assert len(X._similarities(pd.Series([None, "a"]), pd.Series(["b", "A."]))) == 2
 
 
+def test_similarity_of_batches_against_a_plain_count():
+    import math
+    import random
+    from collections import Counter
+
+    def plain(h, r):
+        if not h or not r:
+            return 0.0, 0.0
+        product = 1.0
+        for n in range(1, 5):
+            grams = [Counter(" ".join(x[i : i + n]) for i in range(len(x) - n + 1)) for x in (h, r)]
+            product *= (sum(min(c, grams[1][g]) for g, c in grams[0].items()) + 1) / (max(0, len(h) - n + 1) + 1)
+        common = sum(min(h.count(w), r.count(w)) for w in set(h))
+        return product**0.25 * (1 if len(h) > len(r) else math.exp(1 - len(r) / len(h))), 2 * common / (len(h) + len(r))
+
+    r = random.Random(5)
+    draw = lambda: [[r.choice("abcde") for _ in range(r.choice((0, 1, 2, 3, 7, 20)))] for _ in range(200)]
+    left, right = draw(), draw()
+    got = X.similarities(left, right)
+    for k in range(200):
+        assert abs(got[0][k] - plain(left[k], right[k])[0]) < 1e-12 and abs(got[1][k] - plain(left[k], right[k])[1]) < 1e-12
+    assert [len(x) for x in X.similarities([], [])] == [0, 0]
+
+
 def test_leaks(spark):
     cases = [("This rater settles on Overall 2 here.", 2, True), ("評価は5点です", 5, True), ("15点", 5, True), ("OVERALL41", 4, True), ("the score: 1 fits", 1, True), ("page 14 of 40", 4, False), (None, 2, False), ("a plain remark", 2, False), ("one of 5 essays", 4, False)]
     df = spark.createDataFrame(cases, "t string, s int, want boolean").withColumn("got", X.leaks_score(F.col("t"), F.col("s")))
