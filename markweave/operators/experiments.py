@@ -27,9 +27,14 @@ def k_summary(records: DataFrame) -> DataFrame:
     return out.where("n > 0")
 
 
+def _only(c: str):
+    """The one value of a group; an error where there are several rows."""
+    return F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several records of one target and setting"))).otherwise(F.first(c))
+
+
 def target_comparison(records: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """Absolute error per target and history size, missing ones null."""
-    return records.where("parse_success").groupBy("target_id").pivot("K", list(sizes)).agg(F.first("absolute_error"))
+    """Absolute error per target and history size, missing ones null; a target may have one record per size."""
+    return records.where("parse_success").groupBy("target_id").pivot("K", list(sizes)).agg(_only("absolute_error"))
 
 
 def k_paired(records: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -55,7 +60,7 @@ def seed_summary(records: DataFrame, expected: int = 100) -> DataFrame:
 
 def seed_paired(records: DataFrame, low: int = 3, high: int = 5) -> DataFrame:
     """Per seed: error at ``high`` less error at ``low``, so that a negative difference favours the longer history."""
-    p = records.where("parse_success").groupBy("seed", "target_id").pivot("K", [low, high]).agg(F.first("absolute_error"))
+    p = records.where("parse_success").groupBy("seed", "target_id").pivot("K", [low, high]).agg(_only("absolute_error"))
     d = F.col(str(high)) - F.col(str(low))
     return p.groupBy("seed").agg(F.count_if(d < 0).alias(f"improved_k{high}"), F.count_if(d == 0).alias("unchanged"), F.count_if(d > 0).alias(f"worsened_k{high}"), rounded(F.avg(d)).alias(f"mean_delta_ae_k{high}_minus_k{low}"), rounded(F.median(d)).alias(f"median_delta_ae_k{high}_minus_k{low}"), F.count(d).alias("paired_targets"))
 

@@ -183,6 +183,8 @@ def run_phases(wide: DataFrame, make: Callable[[], pipeline.Generator], output:
         df.write.mode("overwrite").parquet(f"{output}/{name}")
         return spark.read.parquet(f"{output}/{name}")
 
+    settings = {"num_targets": num_targets, "history_size": history_size, "seed": seed, "candidates": candidates, "max_retries": max_retries, "max_model_len": max_model_len, "reserved_output_tokens": reserved_output_tokens}
+    sinks.write_json(sinks.experiment_metadata(settings), f"{output}/experiment_metadata.json")
     rows = history.experiment_rows(wide, with_text=True)
     targets = history.sample_targets(rows.drop("Text"), num_targets, seed, history_size, strict=True)
     histories = kept("histories", history.sample_histories(rows.drop("Text"), history_size, seed, targets))
@@ -247,6 +249,7 @@ def run_context(spark: SparkSession, source: str, output: str, sizes: tuple[int,
     """Prompt sizes of every eligible target per phase and history size, and how many fit each context length."""
     ship_library(spark)
     context_table(files.load_processed_wide(spark, source), sizes, seed, {"prediction": 384, "reference": 384, "verification": 128}).write.mode("overwrite").parquet(f"{output}/context_detail.parquet")
+    sinks.write_json(sinks.experiment_metadata({"sizes": list(sizes), "seed": seed, "max_lengths": list(max_lengths)}), f"{output}/experiment_metadata.json")
     fit = experiments.context_fit(spark.read.parquet(f"{output}/context_detail.parquet"), max_lengths)
     sinks.save_table(fit.orderBy("phase", "k", "max_model_len"), f"{output}/context_fit.csv")
     return fit

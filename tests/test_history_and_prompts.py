@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from markweave.operators import experiments, history, pipeline, prompts
@@ -134,3 +135,12 @@ def test_experiment_tables(spark):
     t = spark.createDataFrame([(f"t{k}",) for k in range(5)], "target_id string")
     r = spark.createDataFrame([(0, "x"), (1, "y")], "reasoning_no bigint, reasoning string")
     assert [x.reasoning for x in experiments.assign_round_robin(t, r).orderBy("target_id").collect()] == ["x", "y", "x", "y", "x"]
+
+
+def test_repeated_records_are_no_comparison(spark):
+    from markweave.operators import experiments
+
+    df = spark.createDataFrame([("a", 3, True, 1), ("a", 3, True, 2)], "target_id string, K int, parse_success boolean, absolute_error int")
+    with pytest.raises(Exception, match="several records"):
+        experiments.target_comparison(df, (3, 5)).collect()
+    assert [tuple(r) for r in experiments.target_comparison(df.limit(1), (3, 5)).collect()] == [("a", 1, None)]
