@@ -45,6 +45,49 @@ def _consensus(score: str) -> str:
         FROM means"""
 
 
+#: A plain search: windows of five words that both texts hold, their words counted once on either side.
+_OVERLAPS = r"""evals AS (SELECT DISTINCT try_cast(split_part(target_id, ':', 1) AS BIGINT) AS r FROM phase1_predictions),
+    trains AS (SELECT DISTINCT try_cast(split_part(h, ':', 1) AS BIGINT) AS r FROM (SELECT unnest(history_ids) AS h FROM phase1_predictions)),
+    texts AS (SELECT DISTINCT source_row_id AS r, regexp_extract_all(lower(Text), '[\p{L}\p{N}]+') AS w FROM rater_essay_wide WHERE Text IS NOT NULL AND source_row_id IS NOT NULL),
+    numbered AS (SELECT row_number() OVER () AS id, r, w, len(w) AS n, r IN (SELECT r FROM evals) AS is_eval, r IN (SELECT r FROM trains) AS is_train FROM texts WHERE len(w) > 0),
+    windows AS (SELECT id, r, n, is_eval, is_train, unnest(range(1, n - 3)) AS p, w FROM numbered WHERE n >= 5),
+    hashed AS (SELECT id, r, n, is_eval, is_train, p, hash(w[p : p + 4]) AS h FROM windows),
+    hits AS (SELECT a.id AS e, b.id AS t, a.r AS re, b.r AS rt, a.n AS ne, b.n AS nt, a.p AS pe, b.p AS pt FROM hashed a JOIN hashed b ON a.h = b.h WHERE a.is_eval AND b.is_train AND a.r <> b.r),
+    many AS (SELECT e, t FROM hits GROUP BY e, t HAVING count(DISTINCT pe) >= 2 * any_value(ne) / 15 AND count(DISTINCT pt) >= 2 * any_value(nt) / 15),
+    words AS (SELECT e, t, re, rt, ne, nt, pe + k AS we, pt + k AS wt FROM hits JOIN many USING (e, t), unnest(range(5)) AS u(k)),
+    covered AS (SELECT e, t, re, rt FROM words GROUP BY e, t, re, rt HAVING count(DISTINCT we) >= 2 * any_value(ne) / 3 AND count(DISTINCT wt) >= 2 * any_value(nt) / 3),
+    pairs AS (
+        SELECT re, rt FROM covered
+        UNION SELECT a.r, b.r FROM numbered a JOIN numbered b ON a.w = b.w AND a.r <> b.r WHERE a.n < 5 AND a.is_eval AND b.is_train)"""
+
+
+def _words(text: str) -> str:
+    """Words of a text apart from broken lines, markup, entities, hidden letters, accents and case."""
+    x = rf"regexp_replace({text}, '([\p{{L}}\p{{N}}_])-[ \t]*\r?\n[>\s]*([\p{{L}}\p{{N}}_])', '\1\2', 'g')"
+    x = f"regexp_replace({x}, '<[!/?]?[A-Za-z][^<>]*>', ' ', 'g')"
+    for entity, letter in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{letter}')"
+    x = f"regexp_replace({x}, '[' || chr(173) || chr(8203) || '-' || chr(8207) || chr(8288) || chr(65279) || ']', '', 'g')"
+    return f"regexp_extract_all(regexp_replace(lower(strip_accents({x})), '\\p{{M}}', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: A plain alignment: where a document and a passage share six words in a row, their words are compared place by place at that shift.
+_LEAKED = f"""
+    WITH lines AS (SELECT t, unnest(list_distinct(list_transform(regexp_split_to_array(t, '\r\n|\r|\n'), lambda x: trim(lower(x))))) AS line FROM (SELECT DISTINCT text AS t FROM eval_passages WHERE text IS NOT NULL)),
+    shared AS (SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(*) >= 3),
+    listed AS (SELECT coalesce(list(line), []) AS known FROM shared),
+    cut AS (SELECT item_id, text, array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: NOT list_contains(known, trim(lower(x)))), chr(10)) AS kept FROM eval_passages CROSS JOIN listed WHERE text IS NOT NULL),
+    items AS (SELECT item_id, CASE WHEN 2 * len({_words('kept')}) >= len({_words('text')}) THEN {_words('kept')} ELSE {_words('text')} END AS w FROM cut),
+    docs AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL),
+    iw AS (SELECT item_id, p, hash(w[p : p + 5]) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS p FROM items)),
+    dw AS (SELECT doc_id, p, hash(w[p : p + 5]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS p FROM docs)),
+    shifts AS (SELECT DISTINCT doc_id, item_id, dw.p - iw.p AS s FROM dw JOIN iw USING (h)),
+    same AS (
+        SELECT doc_id, item_id, s, p, row_number() OVER (PARTITION BY doc_id, item_id, s ORDER BY p) AS k
+        FROM (SELECT doc_id, item_id, s, unnest(range(1, len(items.w) + 1)) AS p, items.w AS iw, docs.w AS dw FROM shifts JOIN items USING (item_id) JOIN docs USING (doc_id)) WHERE p + s BETWEEN 1 AND len(dw) AND iw[p] = dw[p + s])
+    SELECT DISTINCT a.doc_id, a.item_id FROM same a JOIN same b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.s = b.s AND b.p - a.p + 1 >= 20 AND 10 * (b.k - a.k + 1) >= 9 * (b.p - a.p + 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL can say on whole tables; the others are held against brute force in the tests."""
     return {
@@ -52,6 +95,12 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_rated('Overall')} SELECT rater_no FROM raters WHERE n_ratings >= 20 AND accuracy < 0.3",
         "p1_consensus": _consensus("Overall"),
         "p1_consensus_cohesion": _consensus("Cohesion"),
+        "p2_found": f"WITH {_OVERLAPS} SELECT DISTINCT least(re, rt) AS row_a, greatest(re, rt) AS row_b FROM pairs",
+        "p2_report": f"""
+            WITH {_OVERLAPS}, names AS (SELECT source_row_id AS r, min({NAME}) AS name FROM rater_essay_wide GROUP BY 1),
+            named AS (SELECT DISTINCT re, rt, CASE WHEN a.name IS NULL OR b.name IS NULL THEN 'unnamed' WHEN a.name = b.name THEN 'same_name' ELSE 'other_name' END AS source FROM pairs JOIN names a ON a.r = re JOIN names b ON b.r = rt)
+            SELECT 'evaluation' AS split, source, count(DISTINCT re) AS "rows", count(*) AS pairs FROM named GROUP BY source UNION ALL SELECT 'training', source, count(DISTINCT rt), count(*) FROM named GROUP BY source""",
+        "p7_found": _LEAKED,
         # The averages alone, over all texts: the fitted level must leave out none of them.
         "p3_found": r"""
             WITH texts AS (SELECT DISTINCT source_row_id, Text AS t FROM rater_essay_wide WHERE regexp_matches(Text, '[\p{L}\p{N}]')),
