@@ -24,6 +24,7 @@ TEMPLATES = {
 
 def history_block(number: Column, row_id: Column, text: Column, scores: dict[str, Column]) -> Column:
     """One history entry with its essay and scores."""
+    # The labels of an entry.
     parts = [F.lit("[History "), number.cast("string"), F.lit("; ID="), row_id, F.lit("]\nEssay:\n"), F.coalesce(text, F.lit("")), F.lit(f"\n\n{OVERALL}: "), scores[OVERALL].cast("int").cast("string"), F.lit("\n\nTrait Scores:\n")]
     for k, t in enumerate(TRAITS):
         parts += [F.lit(("\n" if k else "") + t + ": "), scores[t].cast("int").cast("string")]
