@@ -49,6 +49,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores: one that comes in fewer partitions than there are cores, as a small file does, is dealt out anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_library(spark: SparkSession) -> None:
     """Give the executors this package once per application, wherever they were started."""
     sc = spark.sparkContext
