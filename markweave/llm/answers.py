@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markweave.session import cut_lineage
+from markweave.session import cut_lineage, spread
 
 DEFECTS = ("empty", "refusal", "echo", "language", "truncated", "score_leak")
 #: Tiles of at least so many words count, and an answer is an echo from this share of tiled words on.
@@ -433,7 +433,7 @@ def defective_answers(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*empty, *counts], names=names)
 
     names = ["record_table", "target_id", "candidate_id", "defect", "tail", "closed", "used"]
-    judged = cut_lineage(records.mapInArrow(run, "record_table string, target_id string, candidate_id int, defect string, tail string, closed bigint, used bigint"))
+    judged = cut_lineage(spread(records).mapInArrow(run, "record_table string, target_id string, candidate_id int, defect string, tail string, closed bigint, used bigint"))
     known = judged.where("used IS NOT NULL").groupBy("tail").agg(F.sum("closed").alias("closed"), F.sum("used").alias("used")).where(F.col("closed") >= CLOSING_SHARE * (F.col("used") + CLOSING_PRIOR)).select("tail", F.lit(True).alias("known"))
     settled = judged.where("tail IS NULL AND defect IS NOT NULL").select("record_table", "target_id", "candidate_id", "defect")
     # Enough sentences of the corpus end like this one: only the last stop is missing.

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markweave.session import spread
+
 #: Folder of the public vocabularies; a parameter everywhere it is used.
 TOKENIZER_DIR = "/opt/tokenizers"
 #: Fixed by the vocabulary: how text is cut into words before merging.
@@ -216,6 +218,6 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "b
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "ids"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markweave.session import cut_lineage
+from markweave.session import cut_lineage, spread
 
 #: Words in a row that make a case, and the share of them that may be changed.
 MIN_RUN, CHANGED = 20, 0.1
@@ -351,7 +351,7 @@ def leaked_passages(
     mostly disagree) or ``touch``. The corpus is read in one map-only pass; nothing of it is shuffled.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull()))
     bare = cut_lineage(bare_passages(passages, item_id, item_text))
     words = Words(word_types(bare))
     kinds = docs.schema["doc_id"].dataType.simpleString(), bare.schema["i"].dataType.simpleString()

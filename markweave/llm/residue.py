@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markweave.session import spread
+
 # The two usual filler passages, in the wording of De finibus 1.32 as printers set it.
 FILLER_PASSAGES = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud "
@@ -275,6 +277,6 @@ def template_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(kinds, pa.list_(pa.string())), pa.array(matches, pa.int32())], names=["id", "kinds", "matches"]
             )
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, kinds array<string>, matches int").withColumnRenamed("id", id_col)
