@@ -7,7 +7,7 @@ item itself (``leaked``), documents whose wording agrees but whose slots do not
 document holds with at most one changed word in ten. A window of almost nothing but placeholders is joined by its words.
 
 The passages are the query side. What a word stands for is decided once, over all passages (the ``VOCABULARY`` most frequent
-words of them; rarer ones and words of no passage count as names), so results don't hang on how passages are grouped. Their
+words of them; rarer ones and words of no passage count as names and stay different words), so results don't hang on how passages are grouped. Their
 windows are built on the driver in blocks of ``BLOCK_WORDS`` words. Where one block holds all, the corpus is read once, against
 it; where there are more, one pass with a sieve of all windows' hashes (2 MB at any size) writes out the documents that any
 window may touch, and only these are read again for each block. Lines that several different passages share are instructions
@@ -145,9 +145,19 @@ class Words:
         #: A plain word's template code is its own.
         self.template = np.array([_NAME, *(t if t < _PLAIN else _PLAIN + k for k, t in enumerate(types.values(), 1))], dtype=np.int64)
 
-    def of(self, text: str) -> list[int]:
+    def of(self, words: list[str]) -> list[int]:
         get = self.codes.get
-        return [get(x, 0) for x in words_of(text)]
+        return [get(x, 0) for x in words]
+
+    def extended(self, words: set[str]) -> Words:
+        """With codes of its own for rarer words, which are names as well; so that a block's words are told apart however many there are."""
+        rare = sorted(words - self.codes.keys())
+        if not rare:
+            return self
+        out = Words({})
+        out.codes = self.codes | {w: k for k, w in enumerate(rare, len(self.template))}
+        out.template = np.concatenate([self.template, np.full(len(rare), _NAME, dtype=np.int64)])
+        return out
 
     def windows(self, word: np.ndarray) -> np.ndarray:
         """64-bit hash of every window: of its template, or of its words where these are almost all placeholders."""
@@ -227,7 +237,7 @@ def _coded(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarra
     ends = [0]
     for text in texts:
         if text:
-            codes += words.of(text)
+            codes += words.of(words_of(text))
         ends.append(len(codes))
     return np.array(codes, dtype=np.int64), np.array(ends)
 
@@ -322,12 +332,12 @@ def longest(equal: np.ndarray) -> int:
 _NUMBERS, _UNITS = frozenset(NUMBER_WORDS), frozenset(UNIT_WORDS)
 
 
-def _blocks(bare: DataFrame, words: Words, block_words: int) -> Iterator[list[tuple[int, list[int]]]]:
-    """Passages in blocks of at most ``block_words`` words (a single longer one is a block of its own)."""
-    block: list[tuple[int, list[int]]] = []
+def _blocks(bare: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """Passages as words, in blocks of at most ``block_words`` words (a single longer one is a block of its own)."""
+    block: list[tuple[int, list[str]]] = []
     size = 0
     for r in bare.toLocalIterator():
-        own = words.of(r.t)
+        own = words_of(r.t)
         if block and size + len(own) > block_words:
             yield block
             block, size = [], 0
@@ -344,6 +354,7 @@ def leaked_passages(
     item_id: str = "item_id",
     item_text: str = "text",
     block_words: int = BLOCK_WORDS,
+    vocabulary: int = VOCABULARY,
 ) -> DataFrame:
     """(``doc_id``, ``item_id``, ``run`` int, ``template_run`` int, ``slot_share`` double, ``verdict`` string): pairs that share a template.
 
@@ -353,13 +364,14 @@ def leaked_passages(
     spark = documents.sparkSession
     docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).cast("string").alias("text")).where(F.col("text").isNotNull()))
     bare = cut_lineage(bare_passages(passages, item_id, item_text))
-    words = Words(word_types(bare))
+    words = Words(word_types(bare, vocabulary))
     kinds = docs.schema["doc_id"].dataType.simpleString(), bare.schema["i"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, run int, template_run int, slot_share double"
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds[1]]
 
-    def scan(texts: DataFrame, block: list[tuple[int, list[int]]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(PassageIndex(block, words))
+    def scan(texts: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
+        own_words = words.extended({w for _, x in block for w in x})
+        index = spark.sparkContext.broadcast(PassageIndex([(i, own_words.of(x)) for i, x in block], own_words))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = index.value
@@ -375,19 +387,19 @@ def leaked_passages(
 
         return texts.mapInArrow(run, schema)
 
-    blocks = _blocks(bare, words, block_words)
+    blocks = _blocks(bare, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         out = scan(docs, first)
     else:
         sieve = Sieve()
         for block in chain([first, second], blocks):
-            for _, p in block:
-                if len(p) >= WINDOW:
-                    sieve.add(words.windows(np.array(p, dtype=np.int64)))
+            for _, x in block:
+                if len(x) >= WINDOW:
+                    sieve.add(words.windows(np.array(words.of(x), dtype=np.int64)))
         suspects = cut_lineage(touched(docs, words, sieve))
         out = None
-        for block in _blocks(bare, words, block_words):
+        for block in _blocks(bare, block_words):
             part = cut_lineage(scan(suspects, block))
             out = part if out is None else out.unionByName(part)
     verdict = F.when(F.col("run") >= MIN_RUN, "leaked").when((F.col("template_run") >= MIN_RUN) & (F.col("slot_share") < 0.5), "reparameterised").otherwise("touch")

@@ -36,6 +36,13 @@ def test_cases(spark):
         whole = rows
 
 
+def test_words_beyond_the_vocabulary_are_told_apart(spark):
+    df = spark.createDataFrame([(1, PASSAGE), (2, changed(11)), (3, " ".join(f"other{k}" for k in range(60))), (4, changed(4)), (5, " ".join(WORDS[:12]))], "doc_id bigint, text string")
+    for block in (L.BLOCK_WORDS, 40):
+        found = L.leaked_passages(df, setting(spark), block_words=block, vocabulary=5).where("verdict = 'leaked'")
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 1), (2, 1)}
+
+
 def test_empty_tables_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE)], "doc_id bigint, text string")
     assert L.leaked_passages(df, setting(spark)).where("verdict = 'leaked'").count() == 2
