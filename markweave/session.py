@@ -50,9 +50,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scanned table over all cores: one that comes in fewer partitions than there are cores, as a small file does, is dealt out anew."""
+    """A scanned table over all cores: one that comes in fewer partitions than there are cores, as a small file does, is dealt out anew.
+
+    What has been shuffled keeps the partitions it has; nothing is run to find out.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def ship_library(spark: SparkSession) -> None:

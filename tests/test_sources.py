@@ -100,3 +100,15 @@ def test_rater_counts_arrive_as_a_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rater_counts").agg(F.sum("total_sample_count")).first()[0] == src.count()
+
+
+def test_small_files_are_dealt_out_and_shuffled_tables_are_not(spark, tmp_path):
+    from markweave.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and sorted(r.id for r in spread(small).collect()) == list(range(100))
+    shuffled = small.groupBy("id").count()
+    assert spread(shuffled) is shuffled
+    wide = spark.range(0, 100, 1, 2 * spark.sparkContext.defaultParallelism)
+    assert spread(wide) is wide
