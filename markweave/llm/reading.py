@@ -7,10 +7,11 @@ how many bits fewer the high model needs than the low one, over at most ``SENTEN
 latter over the document is mapped monotonically to the graded difficulty by isotonic regression (pool adjacent violators),
 and the fitted grades give the level.
 
-The models are pruned to ``CELLS`` n-grams: each hash cell keeps the n-gram that is most frequent in all texts, with its
-fingerprint, and the others count as unseen, so what is broadcast has a fixed size and no two n-grams share a count. Every
-task counts its own texts first; n-grams are then summed by key. The regression sees a histogram of fixed bins, not rows.
-Texts are read twice (count, score) and never shuffled.
+The models hold every n-gram that any text can look up: one that stands in one half only is unseen by the texts that hold it,
+as they are read with the other half, so n-grams of both halves are all there is to keep. Up to ``HELD`` of them, the most
+frequent, are broadcast. Where there are more, the rest go by join to blocks of texts that ask for them, so that no count is
+left out at any size. Every task counts its own texts first; n-grams are then summed by key. The regression sees a histogram of
+fixed bins, not rows. Texts are read twice (count, score), and shuffled, once, only where n-grams are joined.
 
 Defined results: null and blank texts have no level; repeated rows of one text are scored once per row id and text;
 grades outside 1..5 or missing train nothing but are scored; ties share a bin; with no grades at all the difficulty is
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from markweave.session import cut_lineage, spread
 
-#: N-grams that the models hold at most (a power of two); 52 bytes each are broadcast.
-CELLS = 1 << 20
+#: N-grams that are broadcast at most, 56 bytes each; others are joined to the texts.
+HELD = 1 << 20
+#: Cells by which keys are found (a power of two), and words of a block of texts that n-grams are joined to.
+CELLS, BLOCK_WORDS = 1 << 20, 2_000_000
 #: N-grams that a task keeps before it hands them on.
 TASK_NGRAMS = 1_000_000
 #: Grades up to the first train the low model, from the second the high one.
@@ -139,20 +142,38 @@ def _graded(essays: DataFrame, row_col: str, text_col: str, grade_cols: tuple[st
 
 
 class Models:
-    """Counts by model of the n-grams that were kept: ``prints`` by cell, ``counts`` by fold and model and cell, and the words each model has seen."""
+    """Counts of n-grams (``counts`` by fold and model, then n-gram) and the words each model has seen."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, words: np.ndarray):
-        cell, mark = _cell(keys.view(np.uint64))
-        self.prints = np.zeros(CELLS, dtype=np.uint32)
-        self.prints[cell] = mark
-        self.counts = np.zeros((FOLDS * MODELS, CELLS))
-        self.counts[:, cell] = counts
+        n = len(keys)
+        #: One beyond the last n-gram is the unseen one.
+        self.keys = np.append(keys.view(np.uint64), np.uint64(0))
+        self.counts = np.append(counts, np.zeros((FOLDS * MODELS, 1)), axis=1)
         self.words = words
+        #: The n-gram found at each cell, and those whose cell another has, in order.
+        self.at = np.full(CELLS, n, dtype=np.int32)
+        self.at[_cell(self.keys[:n])] = np.arange(n)
+        rest = np.flatnonzero(self.at[_cell(self.keys[:n])] != np.arange(n))
+        self.rest = rest[np.argsort(self.keys[rest])]
+        self.rest_keys = self.keys[self.rest]
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        """The cell of each key; -1 where the key isn't kept."""
-        cell, mark = _cell(key)
-        return np.where(self.prints[cell] == mark, cell, -1)
+        """The number of each key's n-gram; one beyond the last where the models don't have it."""
+        at = self.at[_cell(key)]
+        other = np.flatnonzero(self.keys[at] != key)
+        at[other] = len(self.keys) - 1
+        if len(self.rest):
+            key = key[other]
+            place = np.minimum(np.searchsorted(self.rest_keys, key), len(self.rest) - 1)
+            same = self.rest_keys[place] == key
+            at[other[same]] = self.rest[place[same]]
+        return at
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        return self.of(key) < len(self.keys) - 1
+
+    def with_more(self, keys: np.ndarray, counts: np.ndarray) -> Models:
+        return Models(np.concatenate([self.keys[:-1], keys.view(np.uint64)]), np.concatenate([self.counts[:, :-1], counts], axis=1), self.words)
 
     def bits(self, b: Batch, fold: np.ndarray) -> list[np.ndarray]:
         """Surprisal of every word under each interpolated model of the other half; ``fold`` is that of the word's text."""
@@ -160,16 +181,15 @@ class Models:
         out = []
         for m in range(MODELS):
             row = ((fold + 1) % FOLDS) * MODELS + m
-            n = lambda at: np.where(at >= 0, self.counts[row, at], 0.0)  # noqa: E731, B023
+            n = lambda at: self.counts[row, at]  # noqa: E731, B023
             p1 = (n(uni) + PSEUDO) / (self.words[row] + PSEUDO * VOCABULARY)
             p2 = np.minimum(n(bi) / np.maximum(n(first), 1), 1)
             out.append(-np.log2(MIX[0] * p1 + MIX[1] * p2))
         return out
 
 
-def _cell(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and fingerprint (never 0) of a key."""
-    return (key & np.uint64(CELLS - 1)).astype(np.int64), (key >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+def _cell(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,8 +198,8 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.stack([np.bincount(at, weights=c, minlength=len(keys)) for c in counts])
 
 
-def train(graded: DataFrame) -> Models:
-    """The models of both halves."""
+def train(graded: DataFrame, held: int = HELD) -> tuple[Models, DataFrame | None]:
+    """The models of both halves with the ``held`` most frequent n-grams or somewhat fewer, and the table of all others, if any."""
     columns = [f"n{k}" for k in range(FOLDS * MODELS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +240,22 @@ def train(graded: DataFrame) -> Models:
             yield from emit()
 
     sums = graded.select("text", "grade").mapInArrow(run, "key bigint, " + ", ".join(f"{c} bigint" for c in columns)).groupBy("key").agg(*(F.sum(c).alias(c) for c in columns))
-    often = sum((F.col(f"n{f * MODELS}") for f in range(1, FOLDS)), F.col("n0"))
-    # The most frequent n-gram of each cell; its key settles ties. At most CELLS rows and the words' one reach the driver.
-    cell = F.when(F.col("key") == 0, -1).otherwise(F.col("key").bitwiseAND(F.lit(CELLS - 1)))
-    table = sums.withColumn("often", often).groupBy(cell.alias("cell")).agg(F.max(F.struct("often", "key", *columns)).alias("x")).select("x.key", *(f"x.{c}" for c in columns)).toArrow()
-    keys = table.column("key").to_numpy()
-    counts = np.stack([table.column(c).to_numpy() for c in columns]).astype(np.float64)
-    return Models(keys[keys != 0], counts[:, keys != 0], counts[:, keys == 0].sum(axis=1))
+    often = [F.col(f"n{f * MODELS}") for f in range(FOLDS)]
+    met = (F.col("key") == 0) | (F.least(*often) > 0)
+    table = cut_lineage(sums.where(met).withColumn("often", F.floor(8 * F.log2(sum(often[1:], often[0]))).cast("int")))
+    # N-grams by frequency in steps of an eighth of a doubling: from which step on are there no more than may be held?
+    sizes = sorted(((r.often, r.n) for r in table.where("key <> 0").groupBy("often").agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, kept = 1 << 30, 0
+    for step, n in sizes:
+        kept += n
+        if kept > held:
+            break
+        least = step
+    mine = table.where((F.col("key") == 0) | (F.col("often") >= least)).drop("often").toArrow()  # at most ``held`` rows and the words' one
+    keys = mine.column("key").to_numpy()
+    counts = np.stack([mine.column(c).to_numpy() for c in columns]).astype(np.float64)
+    others = table.where((F.col("key") != 0) & (F.col("often") < least)).drop("often") if kept > held else None
+    return Models(keys[keys != 0], counts[:, keys != 0], counts[:, keys == 0].sum(axis=1)), others
 
 
 def _quantile(values: np.ndarray, group: np.ndarray, q: float, groups: int) -> np.ndarray:
@@ -237,31 +266,69 @@ def _quantile(values: np.ndarray, group: np.ndarray, q: float, groups: int) -> n
     return np.where(size > 0, np.append(values[order], 0.0)[np.minimum(at, len(values))], 0.0)
 
 
-def score(graded: DataFrame, models: Models) -> DataFrame:
-    """One row per input row (exact repetitions of row id, text and grade within a task once): surprisal and lengths."""
+_MEASURES = ("contrast", "mean_bits", "sentence_bits_p10", "sentence_bits_p50", "sentence_bits_p90", "words_per_sentence", "letters_per_word")
+
+
+def _measures(texts: list[str], models: Models, codes: _Codes) -> list[np.ndarray]:
+    """The measures of each text; equal texts are read once."""
+    own: dict[str, int] = {}
+    at = np.array([own.setdefault(x, len(own)) for x in texts], dtype=np.int64)
+    b = Batch(list(own), codes)
+    docs = len(own)
+    bits = models.bits(b, np.array([_fold(x) for x in own], dtype=np.int64)[b.word_doc])
+    size = b.sentence_words
+    sums = [np.bincount(b.word_sentence, weights=x, minlength=len(size)) for x in (bits[0], bits[1] - bits[2])]
+    contrast = _quantile(sums[1] / size * np.minimum(size, SENTENCE), b.sentence_doc, 0.5, docs)
+    mean = np.bincount(b.word_doc, weights=bits[0], minlength=docs) / np.maximum(b.words, 1)
+    spread = [_quantile(sums[0], b.sentence_doc, q, docs) for q in (0.1, 0.5, 0.9)]
+    return [v[at].astype(np.float64) for v in (contrast, mean, *spread, b.words / np.maximum(b.sentences, 1), b.letters / np.maximum(b.words, 1))]
+
+
+def score(graded: DataFrame, models: Models, others: DataFrame | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per input row: surprisal and lengths. ``others``: the n-grams that ``models`` doesn't hold."""
     shared = graded.sparkSession.sparkContext.broadcast(models)
-    names = ["contrast", "mean_bits", "sentence_bits_p10", "sentence_bits_p50", "sentence_bits_p90", "words_per_sentence", "letters_per_word"]
+    schema = f"row {graded.schema['row'].dataType.simpleString()}, grade double, " + ", ".join(f"{x} double" for x in _MEASURES)
+
+    def read(batch: pa.RecordBatch, own: Models, codes: _Codes) -> Iterator[pa.RecordBatch]:
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
+            values = _measures(part.column("text").to_pylist(), own, codes)
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("grade"), *map(pa.array, values)], names=["row", "grade", *_MEASURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, own_models = _Codes(), shared.value
+        codes, own = _Codes(), shared.value
+        for batch in batches:
+            yield from read(batch, own, codes)
+
+    if others is None:
+        return graded.mapInArrow(run, schema)
+
+    # Blocks of texts ask for the n-grams they hold, and are read with those that are found.
+    blocks = int(models.words[::MODELS].sum()) // block_words + 1
+    placed = graded.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, own = _Codes(), shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                own: dict[str, int] = {}
-                at = np.array([own.setdefault(x, len(own)) for x in part.column(1).to_pylist()], dtype=np.int64)
-                b = Batch(list(own), codes)
-                docs = len(own)
-                bits = own_models.bits(b, np.array([_fold(x) for x in own], dtype=np.int64)[b.word_doc])
-                size = b.sentence_words
-                sums = [np.bincount(b.word_sentence, weights=x, minlength=len(size)) for x in (bits[0], bits[1] - bits[2])]
-                contrast = _quantile(sums[1] / size * np.minimum(size, SENTENCE), b.sentence_doc, 0.5, docs)
-                mean = np.bincount(b.word_doc, weights=bits[0], minlength=docs) / np.maximum(b.words, 1)
-                spread = [_quantile(sums[0], b.sentence_doc, q, docs) for q in (0.1, 0.5, 0.9)]
-                values = [contrast, mean, *spread, b.words / np.maximum(b.sentences, 1), b.letters / np.maximum(b.words, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(v[at].astype(np.float64)) for v in values)], names=["row", "grade", *names])
+                b = Batch(part.column(0).to_pylist(), codes)
+                keys, block = np.concatenate([b.uni, b.first, b.bi]), np.tile(part.column(1).to_numpy()[b.word_doc], 3)
+                new = ~own.holds(keys)
+                pairs = np.unique(np.stack([block[new], keys[new].view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["block", "key"])
+
+    found = placed.select("text", "block").mapInArrow(ask, "block bigint, key bigint").join(others, "key")
+
+    def read_block(texts: pa.Table, ngrams: pa.Table) -> pa.Table:
+        keys, first = np.unique(ngrams.column("key").to_numpy(), return_index=True)
+        counts = np.stack([ngrams.column(f"n{k}").to_numpy()[first] for k in range(FOLDS * MODELS)]).astype(np.float64)
+        own, codes = shared.value.with_more(keys, counts), _Codes()
+        names = ["row", "grade", *_MEASURES]
+        empty = pa.RecordBatch.from_arrays([pa.array([], texts.schema.field(x).type if x in ("row", "grade") else pa.float64()) for x in names], names=names)
+        return pa.Table.from_batches([empty, *(x for batch in texts.to_batches() for x in read(batch, own, codes))])
 
-    kind = graded.schema["row"].dataType.simpleString()
-    return graded.mapInArrow(run, f"row {kind}, grade double, " + ", ".join(f"{x} double" for x in names))
+    return placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_block, schema)
 
 
 def isotonic(blocks: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
@@ -295,10 +362,10 @@ def _bin(x):
     return F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.floor(x / BIN).cast("int")))
 
 
-def reading_levels(essays: DataFrame, row_col: str = "source_row_id", text_col: str = "Text", grade_cols: tuple[str, ...] = ("Vocabulary", "Syntax")) -> DataFrame:
+def reading_levels(essays: DataFrame, row_col: str = "source_row_id", text_col: str = "Text", grade_cols: tuple[str, ...] = ("Vocabulary", "Syntax"), held: int = HELD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(``row_col``, surprisal measures, ``difficulty``, ``level``, ``words_per_sentence``, ``letters_per_word``), each row id and text once."""
     graded = spread(_graded(essays, row_col, text_col, grade_cols))
-    scored = cut_lineage(score(graded, train(graded)))
+    scored = cut_lineage(score(graded, *train(graded, held), block_words))
     blocks = fit(scored)
     difficulty = F.lit(None).cast("double")
     if blocks:

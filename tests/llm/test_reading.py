@@ -1,4 +1,7 @@
 import random
+from collections import Counter
+
+import numpy as np
 
 from markweave.llm import reading as R
 
@@ -51,3 +54,28 @@ def test_isotonic_against_brute_force():
         for i in range(n):  # the min-max formula of isotonic regression
             want = max(min(sum(y for _, y, _ in blocks[a : b + 1]) / (b - a + 1) for b in range(i, n)) for a in range(i + 1))
             assert abs(at(float(i)) - want) < 1e-9
+
+
+def test_models_hold_every_ngram_of_both_halves(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(3000)]
+    rows = [(k, " ".join(r.sample(words, 300)) + f" closing{k}.", 2.0, 2.0, "x") for k in range(60)]
+    graded = R._graded(spark.createDataFrame(rows, SCHEMA), "source_row_id", "Text", ("Vocabulary", "Syntax"))
+    want = [Counter(), Counter()]
+    for _, text, *_ in rows:
+        b = R.Batch([text], R._Codes())
+        want[R._fold(text)].update(np.concatenate([b.uni, b.first, b.bi]).tolist())
+    keys = np.array(sorted(want[0].keys() & want[1].keys()), dtype=np.uint64)
+    assert len(np.unique(keys & np.uint64(R.CELLS - 1))) < len(keys) > 5000  # some share a cell
+    models, others = R.train(graded)
+    assert others is None and models.holds(keys).all()
+    for fold in range(2):
+        assert models.counts[fold * R.MODELS, models.of(keys)].tolist() == [want[fold][k] for k in keys.tolist()]
+
+
+def test_joined_ngrams_give_what_held_ones_do(spark, sf):
+    essays = spark.read.parquet(f"{sf}/rater_essay_wide.parquet")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(R.reading_levels(essays))
+    for held, block_words in ((0, R.BLOCK_WORDS), (500, 20_000)):
+        assert key(R.reading_levels(essays, held=held, block_words=block_words)) == want
