@@ -308,15 +308,20 @@ def score(graded: DataFrame, models: Models, others: DataFrame | None = None, bl
     placed = graded.withColumn("block", F.pmod(F.xxhash64("row", "text"), F.lit(blocks)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, own = _Codes(), shared.value
+        codes, held = _Codes(), shared.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                b = Batch(part.column(0).to_pylist(), codes)
-                keys, block = np.concatenate([b.uni, b.first, b.bi]), np.tile(part.column(1).to_numpy()[b.word_doc], 3)
-                new = ~own.holds(keys)
-                pairs = np.unique(np.stack([block[new], keys[new].view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["block", "key"])
+                own = list(dict.fromkeys(zip(part.column(0).to_pylist(), part.column(1).to_pylist())))
+                b = Batch([text for text, _ in own], codes)
+                block = np.array([x for _, x in own], dtype=np.int64)[b.word_doc]
+                keys, block = np.concatenate([b.uni, b.first, b.bi]), np.tile(block, 3)
+                new = ~held.holds(keys)
+                keys, block = keys[new], block[new]
+                order = np.lexsort((keys, block))
+                keys, block = keys[order], block[order]
+                once = np.concatenate([[True], (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])]) if len(keys) else new[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(block[once]), pa.array(keys[once].view(np.int64))], names=["block", "key"])
 
     found = placed.select("text", "block").mapInArrow(ask, "block bigint, key bigint").join(others, "key")
 
